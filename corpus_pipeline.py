@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, simhash_dedup
+from quillon.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
 
+#: Every stage works on all that its predecessor kept; all but the last return the columns of ``documents``.
 STAGES = [
+    ("language ID", lambda spark, docs, sf_dir: language_id.accepted(docs)),
     ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.dedup(docs)),
     ("SimHash near-dedup", lambda spark, docs, sf_dir: simhash_dedup.dedup(docs)),
+    ("source mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
+    ("best-fit packing", lambda spark, docs, sf_dir: packing.pack(docs)),
 ]
 
 #: SQL can express neither the language models nor the trees.

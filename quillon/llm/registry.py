@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["secret_scan", "exact_dedup", "simhash_dedup", "url_filter"]
+MODULES = ["language_id", "secret_scan", "packing", "exact_dedup", "simhash_dedup", "url_filter", "mixing"]
 
 
 def queries() -> dict:
