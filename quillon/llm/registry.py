@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality_crf", "neighbours", "packing", "language_id", "exact_dedup", "simhash_dedup", "secret_scan", "url_filter", "mixing"]
+MODULES = ["quality_crf", "neighbours", "suffix_dedup", "packing", "language_id", "exact_dedup", "simhash_dedup", "secret_scan", "url_filter", "mixing"]
 
 
 def queries() -> dict:
