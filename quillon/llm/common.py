@@ -51,6 +51,19 @@ def sized(ids: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids
 
 
+def hash_sample(df: DataFrame, size: int, *key: str, n: int | None = None) -> DataFrame:
+    """At most ``size`` rows in the order of a hash of ``key``.
+
+    A first filter on the hash leaves about 1.5 ``size`` rows, so that no
+    partition sends more to the driver than its part of them.
+    """
+    n = df.count() if n is None else n
+    h = F.xxhash64(*key)
+    if n > 2 * size:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int(1.5 * size / n * (1 << 30)) + 1)
+    return df.orderBy(h, *key).limit(size)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keeps Arrow batches of texts small enough for a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -83,7 +83,7 @@ def match(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     keyed = pages.select("page_id", "url", key(F.col("url")).alias("key"))
     known = keyed.where("key IS NOT NULL")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = sorted(r[0] for r in known.select("key").orderBy(F.xxhash64("key", "page_id")).limit(SAMPLE).collect())
+    some = sorted(r[0] for r in common.hash_sample(known.select("key", "page_id"), SAMPLE, "key", "page_id").collect())
     bounds = sorted({some[len(some) * i // n] for i in range(1, n)}) if some else []
 
     def place(batches):
