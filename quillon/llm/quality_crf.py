@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Crf:
     spark = docs.sparkSession
     common.small_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    pick = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train).collect()
+    pick = common.hash_sample(known, train, "doc_id").collect()
     if not pick:
         return fit_chains(np.zeros((0, K)), np.zeros(1, int), np.zeros(0, int))
     part = spark.createDataFrame([(r.doc_id, int(r.quality)) for r in pick], "doc_id long, quality int")
