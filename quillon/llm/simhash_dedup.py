@@ -219,7 +219,7 @@ def links(points: DataFrame, n: int) -> DataFrame:
     spark = points.sparkSession
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     depth = max(depth, min(4, int(np.log2(max(1, n // 256 or 1)))))
-    some = points.select("a", "level").orderBy(F.xxhash64("a", "level")).limit(SAMPLE).toPandas()
+    some = common.hash_sample(points.select("a", "level"), SAMPLE, "a", "level", n=n).toPandas()
     nodes = upper_tree(some["a"].to_numpy(np.int64).view(np.uint64), some["level"].to_numpy(np.int64), depth)
 
     def visit(batches):
