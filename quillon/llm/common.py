@@ -51,6 +51,14 @@ def sized(ids: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_sample(df: DataFrame, size: int, *key: str, n: int | None = None) -> DataFrame:
     """At most ``size`` rows in the order of a hash of ``key``.
 

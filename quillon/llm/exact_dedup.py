@@ -2,7 +2,8 @@
 
 Documents are grouped by length, the groups that hold more than one by a hash
 of the first bytes, and only what survives both is read in full and hashed.
-The first two levels come from one scan and shuffle 24 bytes a document.
+The first two levels come from one scan and shuffle 24 bytes a document.  What a
+SHA-256 cannot tell apart counts as equal.
 
 Defined results: a NULL text equals nothing and is kept; empty texts equal each
 other; the smallest doc_id of a group is kept (a NULL doc_id is never removed
@@ -12,7 +13,7 @@ one document and one of them is kept; extra columns pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,27 +22,33 @@ PREFIX_CHARS = 256
 _KEY = ["__len", "__head"]
 
 
-def _levels(docs: DataFrame) -> DataFrame:
-    """The cheap keys of each document with a text."""
-    return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
-        "doc_id",
-        F.octet_length("text").alias("__len"),
-        F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("__head"),
-    )
+def _head():
+    return F.xxhash64(F.substring("text", 1, PREFIX_CHARS))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """doc_id, length and prefix hash of documents that share both with another row."""
-    keys = _levels(docs)
-    shared = keys.groupBy(*_KEY).agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
-    return shared.select(F.explode("ids").alias("doc_id"), *_KEY)
+    """doc_id, length and prefix hash of documents that share both with another row.
+
+    A window counts the rows of a key: a group of any size is sorted and
+    spilled, never held as one row.
+    """
+    known = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    keys = known.select("doc_id", F.octet_length("text").alias("__len"), _head().alias("__head"))
+    return keys.withColumn("__n", F.count("*").over(Window.partitionBy(*_KEY))).where("__n > 1").drop("__n")
 
 
-def _hashed(docs: DataFrame, among: DataFrame) -> DataFrame:
-    """Full hashes of the documents in ``among``, whose rows alone are read in full."""
-    ids = common.sized(among.select("doc_id").distinct())
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, __len, __head, __full, n_rows, keep_id, n_copies of each text that is in several rows.
+
+    Only the texts of surviving documents are read in full.
+    """
+    ids = common.sized(common.cut(survivors(docs).select("doc_id").distinct()))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return texts.select("doc_id", F.octet_length("text").alias("__len"), F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("__head"), F.sha2("text", 256).alias("__full"))
+    rows = texts.select("doc_id", F.octet_length("text").alias("__len"), _head().alias("__head"), F.sha2("text", 256).alias("__full"))
+    rows = rows.groupBy("doc_id", *_KEY, "__full").agg(F.count("*").alias("n_rows"))
+    same = Window.partitionBy("__len", "__full")
+    rows = rows.withColumns({"keep_id": F.min("doc_id").over(same), "n_copies": F.count("*").over(same)})
+    return rows.where("n_copies > 1 OR n_rows > 1")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -49,25 +56,22 @@ def groups(docs: DataFrame) -> DataFrame:
 
     keep_id is the smallest doc_id with that text.  Unique documents are absent.
     """
-    rows = _hashed(docs, common.cut(survivors(docs)))
-    sets = rows.groupBy("__len", "__full").agg(F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1)
-    return sets.select(F.explode("ids").alias("doc_id"), F.array_min("ids").alias("keep_id"), F.size("ids").cast("long").alias("n_copies"))
+    return copies(docs).where("n_copies > 1").select("doc_id", "keep_id", "n_copies")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with one of each text, in the columns of ``docs``."""
     cols = docs.columns
-    rows = _hashed(docs, common.cut(survivors(docs)))
-    sets = common.cut(rows.groupBy("__len", "__full").agg(F.collect_list("doc_id").alias("ids"), F.first("__head").alias("__head")).where(F.size("ids") > 1))
-    keep = F.array_min("ids")
-    lost = sets.select(F.explode(F.array_distinct("ids")).alias("doc_id"), *_KEY, keep.alias("keep")).where("doc_id <> keep").drop("keep")
-    lost = common.cut(lost)
-    tagged = docs.withColumns({"__len": F.octet_length("text"), "__head": F.xxhash64(F.substring("text", 1, PREFIX_CHARS))})
-    kept = tagged.join(common.sized(lost), ["doc_id", *_KEY], "left_anti")
-    again = common.cut(sets.where(F.size("ids") > F.size(F.array_distinct("ids"))).select(keep.alias("doc_id"), *_KEY).distinct())
+    size, head, full = (common.fresh(cols, k) for k in ("len", "head", "full"))
+    found = common.cut(copies(docs).withColumnsRenamed({"__len": size, "__head": head, "__full": full}))
+    on = ["doc_id", size, head]
+    tagged = docs.withColumns({size: F.octet_length("text"), head: _head()})
+    lost = common.cut(found.where("doc_id <> keep_id").groupBy(*on).agg(F.collect_set(full).alias(full)))
+    # The full hash of a row is taken only where the cheap keys are those of a copy.
+    kept = tagged.join(common.sized(lost), on, "left").where(F.col(full).isNull() | ~F.array_contains(full, F.sha2("text", 256))).drop(full)
+    again = common.cut(found.where("doc_id = keep_id AND n_rows > 1").select(*on).distinct())
     if not again.isEmpty():  # one row of each document that is in the table more than once
         ids = common.sized(again)
-        on = ["doc_id", *_KEY]
         kept = kept.join(ids, on, "left_anti").unionByName(kept.join(ids, on, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*[F.col(f"`{c}`") for c in cols])
 
