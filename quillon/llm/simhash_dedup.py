@@ -246,12 +246,11 @@ def links(points: DataFrame, n: int) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, n_near for every document in a group of near-duplicates, exact copies included."""
     one = fingerprints(docs).groupBy("doc_id").agg(F.min(F.struct("a", "b", "level")).alias("f")).select("doc_id", "f.*")
-    same = common.cut(one.groupBy("a", "b", "level").agg(F.min("doc_id").alias("id"), F.collect_list("doc_id").alias("ids")))
-    points = same.select("id", "a", "b", "level")
+    same = common.cut(one.withColumn("id", F.min("doc_id").over(Window.partitionBy("a", "b", "level"))))
+    points = same.where("doc_id = id").select("id", "a", "b", "level")
     roots = components(links(points, points.count()))
-    member = same.select("id", "ids").join(roots, "id", "left").select(F.coalesce("root", "id").alias("keep_id"), F.explode("ids").alias("doc_id"))
-    size = F.count("*").over(Window.partitionBy("keep_id"))
-    return member.select("doc_id", "keep_id", size.alias("n_near")).where("n_near > 1")
+    member = same.select("doc_id", "id").join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("keep_id"))
+    return member.withColumn("n_near", F.count("*").over(Window.partitionBy("keep_id"))).where("n_near > 1")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
