@@ -2,8 +2,8 @@
 
 Vectors are hashed into blocks of bounded size and each pair of blocks is a
 tile, computed once for both directions.  In a tile vectors are quantised to
-int8 with a scale each; products of the codes are whole numbers below 2^24, so
-a float32 matrix product gives them exactly.  If a vector lies e from its
+int8 with a scale each; products of the codes over EXACT dimensions are whole
+numbers below 2^24, so a float32 matrix product gives them exactly.  If a vector lies e from its
 quantised form, a distance lies within e_x + e_y of the quantised one: pairs
 whose lower bound exceeds the k-th smallest upper bound of a row cannot be
 among its neighbours and go.  The rest are computed in double precision, and
@@ -32,6 +32,8 @@ K = 10
 BLOCK = 4096
 #: Columns from which the first bound of a row is taken.
 PROBE = 512
+#: Dimensions of which a sum of products of int8 codes stays below 2^24.
+EXACT = 1024
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,14 +64,21 @@ def survivors(d: np.ndarray, slack: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return i[ok], j[ok]
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of int8 codes, whole numbers: float32 holds those of EXACT dimensions, wider ones are summed in float64."""
+    if x.shape[1] <= EXACT:
+        return x @ y.T
+    return sum((x[:, k : k + EXACT] @ y[:, k : k + EXACT].T).astype(np.float64) for k in range(0, x.shape[1], EXACT))
+
+
 def tile(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, k: int, both: bool):
     """Yields (query id, ids, distances) of the up to k nearest in the tile, for x in y and, if ``both``, y in x."""
     (qx, sx, ex), (qy, sy, ey) = quantise(x), quantise(y)
-    nx, ny = ((q.astype(np.float32) ** 2).sum(1) * s.astype(np.float64) ** 2 for q, s in ((qx, sx), (qy, sy)))
+    nx, ny = ((q.astype(np.float64) ** 2).sum(1) * s.astype(np.float64) ** 2 for q, s in ((qx, sx), (qy, sy)))
     fy = qy.astype(np.float32)
     parts = []
     for lo in range(0, len(x), 1024):
-        dot = qx[lo : lo + 1024].astype(np.float32) @ fy.T
+        dot = _products(qx[lo : lo + 1024].astype(np.float32), fy)
         d2 = (-2 * sx[lo : lo + 1024])[:, None].astype(np.float32) * sy[None, :].astype(np.float32) * dot
         d2 += nx[lo : lo + 1024, None].astype(np.float32)
         d2 += ny[None, :].astype(np.float32)
