@@ -111,7 +111,7 @@ def sample(docs: DataFrame, weights: dict | None = None, budget: float = BUDGET)
     tokens = {s: t for s, (t, _) in totals.items()}
     pi = allot(tokens, weights, budget * sum(tokens.values()))
     shares = spark.createDataFrame([(s, pi[s], -(-n // SHARD)) for s, (_, n) in totals.items()], "s string, probability double, shards long")
-    live = units.join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    live = units.join(common.sized(shares), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     live = live.withColumns({"p": F.col("probability"), "shard": F.pmod(F.xxhash64("doc_id"), F.col("shards"))})
     schema = "doc_id long, source string, tokens long, probability double, shards long, p double, shard long"
     live = live.select("doc_id", "source", "tokens", "probability", "shards", "p", "shard")
