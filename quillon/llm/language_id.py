@@ -235,7 +235,8 @@ def fit(docs: DataFrame) -> Model:
     if not pick:
         return build({})
     part = spark.createDataFrame([(r.doc_id, r.lang, r.n <= cutoff[r.lang]) for r in pick], "doc_id long, label string, train boolean")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(part), "doc_id").where("lang = label")
+    # At most TRAIN + HELD_OUT rows a language; read once for both uses.
+    rows = common.cut(docs.select("doc_id", "text", "lang").join(F.broadcast(part), "doc_id").where("lang = label").select("text", "label", "train"))
 
     def count(batches):
         for b in batches:
