@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEPARATOR = 0x80
 
@@ -106,25 +107,25 @@ def decode_posting(data: bytes, sentiment: bool = False) -> list[tuple[int, int
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def vb_encode_udf(s: pd.Series) -> pd.Series:
     """vb_encode of each array."""
     return s.map(lambda x: vb_encode([int(v) for v in x]), na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def delta_vb_encode_udf(s: pd.Series) -> pd.Series:
     """delta_vb_encode of each array."""
     return s.map(lambda x: delta_vb_encode([int(v) for v in x]), na_action="ignore")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def vb_delta_decode_udf(s: pd.Series) -> pd.Series:
     """vb_delta_decode of each value."""
     return s.map(vb_delta_decode, na_action="ignore")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def vb_delta_max_udf(s: pd.Series) -> pd.Series:
     """vb_delta_max of each value."""
     return s.map(vb_delta_max, na_action="ignore")

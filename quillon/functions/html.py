@@ -165,7 +165,7 @@ def snapshot(text: Column, size: int = 5000) -> Column:
     return F.trim(F.regexp_replace(F.substring(text, 1, size), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Entities decoded."""
     return s.map(html.unescape, na_action="ignore")

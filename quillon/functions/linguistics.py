@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .analyzer import FOLDS
 
@@ -429,25 +430,25 @@ def metaphone_text(number: int) -> str | None:
 # --- UDFs: meant for distinct tokens ------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_english_udf(s: pd.Series) -> pd.Series:
     """stem_english of each token."""
     return s.map(stem_english, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_finnish_udf(s: pd.Series) -> pd.Series:
     """stem_finnish of each token."""
     return s.map(stem_finnish, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_keyword_udf(s: pd.Series) -> pd.Series:
     """The stem that a query would use for each token."""
     return s.map(lambda t: stem_keyword(t)[0], na_action="ignore")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def metaphone_udf(s: pd.Series) -> pd.Series:
     """metaphone_int of each token."""
     return s.map(metaphone_int, na_action="ignore").astype("Int32")

@@ -7,6 +7,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes of two labels under which names are registered; callers may give a longer set.
 SUFFIXES = frozenset("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp or.jp co.kr com.br com.cn com.tr co.in co.za com.mx".split())
@@ -99,13 +100,13 @@ def url_key(url: Column) -> Column:
     return F.md5(F.encode(url, "utf-8"))
 
 
-@F.pandas_udf("domain string, subdomain string")
+@F.pandas_udf(T.StructType([T.StructField(k, T.StringType()) for k in ("domain", "subdomain")]))
 def domain_info_udf(s: pd.Series) -> pd.DataFrame:
     """domain_info of each URL."""
     return pd.DataFrame([domain_info(u) or (None, None) for u in s], columns=["domain", "subdomain"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute_udf(base: pd.Series, link: pd.Series) -> pd.Series:
     """absolute of each pair."""
     return pd.Series([None if b is None or x is None else absolute(b, x) for b, x in zip(base, link)])

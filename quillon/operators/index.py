@@ -147,14 +147,23 @@ def tables(docs: DataFrame, s: IndexSettings) -> dict[str, DataFrame]:
 
 def write(docs: DataFrame, s: IndexSettings, path: str) -> None:
     """Builds the tables and writes them under ``path``; postings once, the rest from them."""
-    spark = docs.sparkSession
     t = tables(docs, s)
-    t["postings"].repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    post = spark.read.parquet(f"{path}/postings")
-    with_metaphone(dictionary(post)).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
+    write_tables(docs.sparkSession, s, t["postings"], t["docinfo"], path)
+
+
+def write_tables(spark, s: IndexSettings, post: DataFrame, info: DataFrame, path: str) -> None:
+    """Writes postings and docinfo under ``path``, and dictionary and prefixes from them."""
+    post.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    words = with_metaphone(dictionary(spark.read.parquet(f"{path}/postings")))
+    words.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
+    write_prefixes(spark, s, path)
+    info.write.mode("overwrite").parquet(f"{path}/docinfo")
+
+
+def write_prefixes(spark, s: IndexSettings, path: str) -> None:
+    """Writes the prefixes of the dictionary under ``path``."""
     words = spark.read.parquet(f"{path}/dictionary")
     prefixes(words, s.prefix_mode, s.prefix_length, s.analysis).repartitionByRange("prefix").sortWithinPartitions("prefix", "cutlen", "token").write.mode("overwrite").parquet(f"{path}/prefixes")
-    t["docinfo"].write.mode("overwrite").parquet(f"{path}/docinfo")
 
 
 def read(spark, s: IndexSettings, *paths: str) -> Index:

@@ -80,6 +80,18 @@ def expand(index: Index, query: Query, o: SearchOptions) -> list[Expansion]:
     return [Expansion(tok, t.q, q, counts[tok]) for tok, word, q in found for t in query.terms if t.token == word and (not t.exact or tok == word)]
 
 
+def _bit(q: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), q)
+
+
+def _of_position(q: int):
+    return lambda x: x["q"] == q
+
+
+def _in_field(f: int, n: int):
+    return lambda x: x % n == f
+
+
 def _mask_weight(bits: list[Column], weights: list[int]) -> Column:
     total = F.lit(0)
     for b, w in zip(bits, weights):
@@ -104,7 +116,7 @@ def score(index: Index, query: Query, terms: list[Expansion], o: SearchOptions)
     # A negated word's positions are never needed.
     negative = [t.q for t in query.terms if t.negative]
     hits = F.when(F.col("q").isin(negative), F.array().cast("array<bigint>")).otherwise(F.col("hits")) if negative else F.col("hits")
-    g = post.join(F.broadcast(table), "token").groupBy("doc_id").agg(F.collect_list(F.struct("q", "quality", "senti", hits.alias("hits"))).alias("g"), F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("q"))).alias("bits"))
+    g = post.join(F.broadcast(table), "token").groupBy("doc_id").agg(F.collect_list(F.struct("q", "quality", "senti", hits.alias("hits"))).alias("g"), F.bit_or(_bit(F.col("q"))).alias("bits"))
 
     required = sum(1 << t.q for t in wanted)
     forbidden = sum(1 << q for q in negative)
@@ -118,7 +130,7 @@ def score(index: Index, query: Query, terms: list[Expansion], o: SearchOptions)
     # Hits of each position: all for the frequency, those of enabled fields for the rest.
     cols: dict[str, Column] = {}
     for t in wanted:
-        own = F.filter("g", lambda x, q=t.q: x["q"] == q)
+        own = F.filter("g", _of_position(t.q))
         cols[f"all{t.q}"] = F.array_sort(F.flatten(F.transform(own, lambda x: x["hits"])))
         cols[f"qual{t.q}"] = F.array_max(F.transform(own, lambda x: x["quality"]))
     g = g.select("doc_id", "bits", F.aggregate("g", F.lit(0), lambda a, x: a + x["senti"]).alias("senti"), *[c.alias(k) for k, c in cols.items()])
@@ -134,10 +146,10 @@ def score(index: Index, query: Query, terms: list[Expansion], o: SearchOptions)
         # Positions of this word right after the word present before it, none used for an earlier pair.
         next_to = F.array_except(F.array_intersect(F.transform("prev", lambda x: x + n), h), F.col("used")) if k else empty
         g = g.withColumn("cand", F.coalesce(next_to, empty))
-        bits = {f"adj{t.q}_{f}": F.exists("cand", lambda x, f=f: x % n == f) for f in enabled}
-        firsts = F.flatten(F.array(*[F.slice(F.array_sort(F.filter("cand", lambda x, f=f: x % n == f)), 1, 1) for f in enabled]))
+        bits = {f"adj{t.q}_{f}": F.exists("cand", _in_field(f, n)) for f in enabled}
+        firsts = F.flatten(F.array(*[F.slice(F.array_sort(F.filter("cand", _in_field(f, n))), 1, 1) for f in enabled]))
         any_pair = F.size("cand") > 0
-        seen = F.col("pairs").bitwiseAND(F.bitwise_not(F.shiftleft(F.lit(1).cast("long"), F.greatest(F.col("last"), F.lit(0)))))
+        seen = F.col("pairs").bitwiseAND(F.bitwise_not(_bit(F.greatest(F.col("last"), F.lit(0)))))
         new = {
             **bits,
             "used": F.concat("used", firsts),
@@ -160,7 +172,7 @@ def score(index: Index, query: Query, terms: list[Expansion], o: SearchOptions)
     for f in enabled:
         some = F.lit(False)
         for t in wanted:
-            some = some | F.exists(f"h{t.q}", lambda x, f=f: x % n == f)
+            some = some | F.exists(f"h{t.q}", _in_field(f, n))
         field_hit[f] = some
     g = g.withColumn("self", _mask_weight(field_hit, weights).cast("long")).where("self > 0")
     if o.match == Match.STRICT and wanted:
