@@ -194,7 +194,7 @@ def score(index: Index, query: Query, terms: list[Expansion], o: SearchOptions)
     near = (phrase + F.col("self")) * 1000
     part = F.round((F.lit(0.5) + bm25 / F.lit(2.0 * max(1, len(wanted)))) * 999)
     base = {Rank.PROXIMITY_BM25: near + part, Rank.BM25: part, Rank.PROXIMITY: near.cast("double")}[o.rank]
-    quality = qual / present if o.quality_scoring else F.lit(1.0)
+    quality = qual / F.greatest(present, F.lit(1)) if o.quality_scoring else F.lit(1.0)
     senti = F.col("senti") + (extra if o.sentiweight else F.lit(0))
     return g.select("doc_id", (base * quality).cast("long").alias("score"), senti.cast("long").alias("sentiscore"))
 

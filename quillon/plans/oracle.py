@@ -58,8 +58,8 @@ raw AS (SELECT doc_id, field_id, unnest(ws) AS token, generate_subscripts(ws, 1)
 tok AS (SELECT doc_id, field_id, token, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY i) AS pos FROM raw WHERE token NOT IN ({values(a.forbidden)})),
 cut AS (SELECT *, CASE {cases} ELSE [] END AS ps FROM tok WHERE {where}),
 bits AS (SELECT doc_id, field_id, pos, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM cut),
-part AS (SELECT doc_id, field_id, p AS token, pos + row_number() OVER (PARTITION BY doc_id, field_id, pos ORDER BY k) - 1 AS pos FROM bits WHERE p <> '')"""
-    both = "SELECT doc_id, field_id, pos, token FROM tok UNION ALL SELECT doc_id, field_id, pos, token FROM part"
+blends AS (SELECT doc_id, field_id, p AS token, pos + row_number() OVER (PARTITION BY doc_id, field_id, pos ORDER BY k) - 1 AS pos FROM bits WHERE p <> '')"""
+    both = "SELECT doc_id, field_id, pos, token FROM tok UNION ALL SELECT doc_id, field_id, pos, token FROM blends"
     table_ = expand_synonyms(a.synonyms)
     if table_:
         rows = ", ".join(f"({_q(w)}, {_q(m)})" for w, ms in table_.items() for m in ms)

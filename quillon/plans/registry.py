@@ -230,7 +230,7 @@ def _(spark, sf_dir):
     return docs.select("doc_id", (F.col("i") + 1).cast("long").alias("pos"), "token")
 
 
-@_add("tok_02_blend_parts", sql.query("SELECT doc_id, pos, token, count(*) AS n FROM occ WHERE doc_id IN (SELECT doc_id FROM part) GROUP BY ALL", _DOC))
+@_add("tok_02_blend_parts", sql.query("SELECT doc_id, pos, token, count(*) AS n FROM occ WHERE doc_id IN (SELECT doc_id FROM blends) GROUP BY ALL", _DOC))
 def _(spark, sf_dir):
     occ = _occ(spark, sf_dir)
     words = read(spark, sf_dir, "documents").select("doc_id", F.explode(analyzer.tokens(F.col("text"))).alias("t"))
