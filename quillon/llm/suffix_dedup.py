@@ -111,6 +111,8 @@ def repeated_windows(texts: list[np.ndarray], low: np.ndarray, high: np.ndarray,
     start = np.flatnonzero(np.diff(run, prepend=-1))
     several = np.minimum.reduceat(low[own[w]], start) < np.maximum.reduceat(high[own[w]], start)
     hit = np.sort(w[np.repeat(several, np.diff(np.append(start, len(w))))])
+    if not len(hit):
+        return (np.zeros(0, np.int64),) * 3
     new = np.ones(len(hit), bool)
     new[1:] = (hit[1:] != hit[:-1] + 1) | (own[hit[1:]] != own[hit[:-1]])
     a = np.flatnonzero(new)
