@@ -207,8 +207,8 @@ def build(words: dict[str, dict[str, int]]) -> Model:
     grams = sorted({g for p, _, _ in fitted for g in p})
     contexts = sorted({h for _, b, _ in fitted for h in b})
     n = len(langs)
-    logp = np.log(np.array([[_probability(g, *f) for f in fitted] for g in grams]).reshape(-1, n))
-    logb = np.log(np.array([[b.get(h, 1.0) for _, b, _ in fitted] for h in contexts]).reshape(-1, n))
+    logp = np.log(np.array([[_probability(g, *f) for f in fitted] for g in grams]).reshape(len(grams), n))
+    logb = np.log(np.array([[b.get(h, 1.0) for _, b, _ in fitted] for h in contexts]).reshape(len(contexts), n))
 
     def table(keys: list[str], values: np.ndarray):
         c = np.array([ord(x) for k in keys for x in k], np.uint32)
