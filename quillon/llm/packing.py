@@ -55,12 +55,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """The bins after exchanges between underfull ones; never more bins, never one overfull.
 
-    Passes over the donors, emptiest first, go on while one of them empties a bin.
+    Passes over the donors, emptiest first, go on while one of them moves a
+    piece; each move adds to the sum of squared fills, so they end.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    emptied = True
-    while emptied:
-        emptied = False
+    moved = True
+    while moved:
+        moved = False
         for d in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b)):
             others = [b for b in range(len(bins)) if fill[d] <= fill[b] < capacity and b != d]
             if not bins[d] or capacity * len(others) - sum(fill[b] for b in others) == 0:
@@ -83,7 +84,7 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
                 best = int(gain.argmax())
                 if gain[best] <= 0:
                     break
-                b, i = int(where[best]), int(item[best])
+                b, i, moved = int(where[best]), int(item[best]), True
                 sent = [bins[d][j] for j in who[k[best]] if j >= 0]
                 bins[d] = [x for x in bins[d] if x not in sent]
                 if i >= 0:
@@ -99,7 +100,6 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
                 room = capacity - np.array([fill[b] for b in where], np.int64)
                 if not len(item):
                     break
-            emptied |= not bins[d]
     return [b for b in bins if b]
 
 
