@@ -23,7 +23,7 @@ import tempfile
 import numpy as np
 
 #: Entries that a queue or an array may hold in memory.
-MEMORY = 1 << 23
+MEMORY = 1 << 20
 BLOCK = 1 << 15
 _FAR = np.iinfo(np.int32).max
 

@@ -34,7 +34,7 @@ from .induced_sort import suffix_array
 WORDS = 50
 GRAM = 12
 #: Words of a shard on average.
-SHARD = 1_500_000
+SHARD = 400_000
 
 
 def window_min(h: np.ndarray, width: int) -> np.ndarray:
