@@ -1,18 +1,22 @@
 """Near-duplicates by SimHash fingerprints in vantage-point trees.
 
-A fingerprint is 64 SimHash bits over the distinct longer words of a document
-and a thermometer code of its word count (LEVELS bits for each e-fold), so the
-Hamming distance of two is that of their bits plus the difference of their
-levels.  Two documents are a pair if this distance is at most RADIUS and the
-SimHashes of their word pairs, an independent check, differ in at most CONFIRM
-bits.  Both are exact conditions; the trees only decide what is compared.
+A fingerprint is 64 SimHash bits over the distinct longer words of a document.
+Two documents are a pair if the Hamming distance of these is at most RADIUS and
+the SimHashes of their word pairs, an independent check, differ in at most
+CONFIRM bits.  Both are exact conditions; the trees only decide what is
+compared.  Length is no part of either, so that a copy with text appended or
+cut off is judged by the words it shares.
 
 The upper tree is built from a bounded sample of fingerprints (the sample
 moves borders, never results) and cuts the space into shards.  A fingerprint
 lives in one shard and is also a query in each shard that its ball overlaps by
-the triangle inequality.  Each shard builds its own tree and joins all its
-queries at once, splitting them at each node.  Of the pairs found a shard
-returns a spanning forest, which has the same connected components.
+the triangle inequality; of two shards that may hold a pair one is asked
+(``asks``).  Each shard builds its own tree and joins all its queries at once,
+splitting them at each node.  At this radius balls overlap most shards, so the
+comparisons grow nearly with the square of the distinct fingerprints.  A
+shard's queries come in parts of PART, each with all points of the shard.
+Of the pairs found a part returns a spanning forest, which has the same
+connected components.
 
 Equal fingerprints are collapsed first, so copies cost nothing.
 
@@ -34,12 +38,15 @@ from . import common
 
 RADIUS = 12
 CONFIRM = 18
-LEVELS = 25
 #: Distinct fingerprints that a shard holds on average.
-SHARD = 16_000
+SHARD = 128_000
+#: Queries that a shard joins at once, on average.
+PART = 500_000
 #: Fingerprints from which the upper tree's borders are taken.
 SAMPLE = 16_384
 LEAF = 192
+#: Pairs compared at a time.
+_BLOCK = 1 << 16
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 
@@ -57,7 +64,7 @@ def _simhash(own: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprint(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word counts, SimHash of distinct words of 5 bytes or more (of all, if under 5 are), SimHash of word pairs, levels."""
+    """Word counts, SimHash of distinct words of 5 bytes or more (of all, if under 5 are), SimHash of word pairs, levels (the trees' second coordinate; all 0)."""
     raw, at = common.text_bytes(texts)
     start, end, first, h = common.words(raw, at, _FOLD)
     n, own, count = len(at) - 1, common.owner(first), np.diff(first)
@@ -76,26 +83,25 @@ def fingerprint(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     po, ph = np.concatenate([own[two], own[single]]), np.concatenate([pair, h[single]])
     order = np.argsort(po, kind="stable")
     b = _simhash(po[order], ph[order], n)
-    level = np.round(LEVELS * np.log(np.maximum(count, 1))).astype(np.int32)
-    return count, a, b, level
+    return count, a, b, np.zeros(n, np.int32)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b, level of each document that has a word."""
+    """doc_id, a, b of each document that has a word."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
         for c in common.chunks(batches, "text"):
-            count, a, b, level = fingerprint(c.column(1))
+            count, a, b, _ = fingerprint(c.column(1))
             keep = count > 0
-            yield pa.RecordBatch.from_arrays([c.column(0).filter(pa.array(keep)), pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.array(level[keep])], ["doc_id", "a", "b", "level"])
+            yield pa.RecordBatch.from_arrays([c.column(0).filter(pa.array(keep)), pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64))], ["doc_id", "a", "b"])
 
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id long, a long, b long, level int")
+    return texts.mapInArrow(run, "doc_id long, a long, b long")
 
 
 def distance(a: np.ndarray, la: np.ndarray, b: np.uint64, lb: int) -> np.ndarray:
-    """Hamming distance of fingerprints, the thermometer part as a difference of levels."""
+    """Hamming distance of fingerprints plus the difference of their levels."""
     return np.bitwise_count(a ^ b).astype(np.int32) + np.abs(la - lb)
 
 
@@ -137,9 +143,16 @@ def route(nodes: list, depth: int, a: np.ndarray, level: np.ndarray, radius: int
     return idx, at - (2**depth - 1), home
 
 
+def asks(home: np.ndarray, shard: np.ndarray, n: int) -> np.ndarray:
+    """Whether a fingerprint of the shard ``home`` is a query in ``shard``, of n: of two shards one asks the other, each as many as any."""
+    ahead = 2 * ((shard - home) % n)
+    return (ahead < n) | (ahead == n) & (shard > home)
+
+
 def tree_join(pa_: np.ndarray, pl: np.ndarray, qa: np.ndarray, ql: np.ndarray, radius: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """All (query, point) index pairs within the radius, by one batched walk of a vantage-point tree."""
     rng = np.random.default_rng(seed)
+    xor, bits = np.empty(_BLOCK, np.uint64), np.empty(_BLOCK, np.uint8)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     todo = [(np.arange(len(pa_)), np.arange(len(qa)))]
     while todo:
@@ -161,12 +174,18 @@ def tree_join(pa_: np.ndarray, pl: np.ndarray, qa: np.ndarray, ql: np.ndarray, r
                 if 0 < int((d <= mu).sum()) < len(p):
                     todo += [(p[d <= mu], q[e - radius <= mu]), (p[d > mu], q[e + radius > mu])]
                     continue
-        for lo in range(0, len(q), max(1, 400_000 // len(p))):  # what is left is compared in blocks that fit the cache
-            part = q[lo : lo + max(1, 400_000 // len(p))]
-            near = np.bitwise_count(qa[part][:, None] ^ pa_[p][None, :]) <= radius
-            i, j = np.nonzero(near)
-            ok = np.bitwise_count(qa[part[i]] ^ pa_[p[j]]).astype(np.int64) + np.abs(ql[part[i]] - pl[p[j]]) <= radius
-            out.append((part[i[ok]], p[j[ok]]))
+        for left in range(0, len(p), _BLOCK):  # what is left is compared in blocks that fit the cache
+            block = p[left : left + _BLOCK]
+            points, step = pa_[block], max(1, _BLOCK // len(block))
+            for lo in range(0, len(q), step):
+                part = q[lo : lo + step]
+                n = len(part) * len(block)
+                np.bitwise_xor(qa[part][:, None], points[None, :], out=xor[:n].reshape(len(part), len(block)))
+                i, j = np.divmod(np.flatnonzero(np.bitwise_count(xor[:n], out=bits[:n]) <= radius), len(block))
+                if len(i):
+                    i, j = part[i], block[j]
+                    ok = distance(qa[i], ql[i], pa_[j], pl[j]) <= radius
+                    out.append((i[ok], j[ok]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -215,39 +234,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(points: DataFrame, n: int) -> DataFrame:
-    """Edges x, y of which the components are the near-duplicate groups of ``points`` (id, a, b, level; n rows, distinct fingerprints)."""
+    """Edges x, y of which the components are the near-duplicate groups of ``points`` (id, a, b; n rows, distinct fingerprints)."""
     spark = points.sparkSession
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     depth = max(depth, min(4, int(np.log2(max(1, n // 256 or 1)))))
-    some = common.hash_sample(points.select("a", "level"), SAMPLE, "a", "level", n=n).toPandas()
-    nodes = upper_tree(some["a"].to_numpy(np.int64).view(np.uint64), some["level"].to_numpy(np.int64), depth)
+    parts = max(1, -(-n // PART))
+    some = common.hash_sample(points.select("a"), SAMPLE, "a", n=n).toPandas()["a"].to_numpy(np.int64).view(np.uint64)
+    nodes = upper_tree(some, np.zeros(len(some), np.int64), depth)
 
     def visit(batches):
         for c in batches:
-            a, level = c.column("a").to_numpy().view(np.uint64), c.column("level").to_numpy().astype(np.int64)
-            idx, shard, home = route(nodes, depth, a, level, RADIUS)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home), *[c.column(k).take(pa.array(idx)) for k in ("id", "a", "b", "level")]], ["shard", "home", "id", "a", "b", "level"])
+            a, ids = c.column("a").to_numpy().view(np.uint64), c.column("id").to_numpy()
+            idx, shard, home = route(nodes, depth, a, np.zeros(len(a), np.int64), RADIUS)
+            own = np.zeros(len(a), np.int64)
+            own[idx[home]] = shard[home]
+            use = asks(own[idx], shard, 2**depth)
+            idx, shard = idx[use], shard[use]
+            part = (common.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            # A query goes to its part of each shard that it asks, a point to all parts of its own.
+            everywhere = np.repeat(np.arange(len(a)), parts)
+            at = np.concatenate([shard * parts + part[idx], own[everywhere] * parts + np.tile(np.arange(parts), len(a))])
+            point = np.arange(len(at)) >= len(idx)
+            rows = pa.array(np.concatenate([idx, everywhere]))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(point), *[c.column(k).take(rows) for k in ("id", "a", "b")]], ["shard", "point", "id", "a", "b"])
 
     def join(t: pa.Table) -> pa.Table:
-        ids, home = t.column("id").to_numpy(), t.column("home").to_numpy()
+        ids, point = t.column("id").to_numpy(), t.column("point").to_numpy()
         a, b = (t.column(k).to_numpy().view(np.uint64) for k in "ab")
-        level = t.column("level").to_numpy().astype(np.int64)
-        p = np.flatnonzero(home)
-        x, y = tree_join(a[p], level[p], a, level, RADIUS)
-        y = p[y]
-        ok = (ids[x] < ids[y]) & (np.bitwise_count(b[x] ^ b[y]) <= CONFIRM)
+        p, q = np.flatnonzero(point), np.flatnonzero(~point)
+        x, y = tree_join(a[p], np.zeros(len(p), np.int64), a[q], np.zeros(len(q), np.int64), RADIUS)
+        x, y = q[x], p[y]
+        ok = (ids[x] != ids[y]) & (np.bitwise_count(b[x] ^ b[y]) <= CONFIRM)
         u, v = forest(ids[x[ok]], ids[y[ok]])
         return pa.table({"x": pa.array(u, pa.int64()), "y": pa.array(v, pa.int64())})
 
-    spread = points.mapInArrow(visit, "shard long, home boolean, id long, a long, b long, level int")
+    spread = points.mapInArrow(visit, "shard long, point boolean, id long, a long, b long")
     return spread.groupBy("shard").applyInArrow(join, "x long, y long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, n_near for every document in a group of near-duplicates, exact copies included."""
-    one = fingerprints(docs).groupBy("doc_id").agg(F.min(F.struct("a", "b", "level")).alias("f")).select("doc_id", "f.*")
-    same = common.cut(one.withColumn("id", F.min("doc_id").over(Window.partitionBy("a", "b", "level"))))
-    points = same.where("doc_id = id").select("id", "a", "b", "level")
+    one = fingerprints(docs).groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("f")).select("doc_id", "f.*")
+    same = common.cut(one.withColumn("id", F.min("doc_id").over(Window.partitionBy("a", "b"))))
+    points = same.where("doc_id = id").select("id", "a", "b")
     roots = components(links(points, points.count()))
     member = same.select("doc_id", "id").join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("keep_id"))
     return member.withColumn("n_near", F.count("*").over(Window.partitionBy("keep_id"))).where("n_near > 1")

@@ -235,6 +235,46 @@ def test_near_groups_by_brute_force(spark, sf):
     assert got == {d: (k, size[k]) for d, k in want.items() if size[k] > 1} and got
 
 
+def cut_and_appended(rng):
+    """Texts, and copies with the last fifth cut off or a fifth of foreign text appended."""
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(4000)]
+    texts = [rng.choices(words, k=rng.randint(200, 600)) for _ in range(60)]
+    cut = [t[: len(t) * 4 // 5] for t in texts]
+    longer = [t + rng.choices(words, k=len(t) // 5) for t in texts]
+    return texts, cut, longer
+
+
+def test_near_copies_of_other_length(spark):
+    texts, cut, longer = cut_and_appended(random.Random(3))
+
+    def shingles(t):
+        return set(zip(t, t[1:], t[2:]))
+
+    for copies in (cut, longer):
+        assert all(len(shingles(t) & shingles(c)) / len(shingles(t) | shingles(c)) > 0.75 for t, c in zip(texts, copies))
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(i + 100, " ".join(t)) for i, t in enumerate(copies)]
+        got = {r.doc_id: r.keep_id for r in simhash_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sum(got.get(i + 100) == i for i in range(60)) >= 48  # at least 80 %
+        assert all(k == d % 100 for d, k in got.items())
+
+
+def test_one_of_two_shards_asks():
+    for n in (1, 2, 4, 8):
+        for i, j in itertools.product(range(n), repeat=2):
+            one, other = (bool(simhash_dedup.asks(np.array([x]), np.array([y]), n)[0]) for x, y in ((i, j), (j, i)))
+            assert one != other if i != j else one
+
+
+def test_near_groups_in_many_shards_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "SHARD", 60)
+    monkeypatch.setattr(simhash_dedup, "PART", 150)
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+    want = near_groups([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: r.keep_id for r in simhash_dedup.groups(docs).collect()}
+    size = Counter(want.values())
+    assert got == {d: k for d, k in want.items() if size[k] > 1} and got
+
+
 def test_contraction_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "x long, y long")
     got = {r.id: r.root for r in simhash_dedup.components(edges).collect()}
