@@ -1,11 +1,11 @@
 """Secrets found by how badly a tokenizer's vocabulary compresses them.
 
-A run of 16 or more characters of keys and encodings that mixes letters and
-digits, or changes case inside, is a candidate.  Under a byte-pair vocabulary
+Every run of 16 or more characters of keys and encodings is a candidate.  Under a byte-pair vocabulary
 words take many characters a token and random strings few, so a candidate with
 at most MAX_RATIO characters a token is reported, after known identifiers
-(UUIDs) and digests (hexadecimal of a digest's length) are excluded.  A digest
-right after the name of a credential and ``=`` or ``:`` is one all the same.
+(UUIDs), numbers (runs without a letter) and digests (hexadecimal of a digest's
+length) are excluded.  A digest or number right after the name of a credential
+and ``=`` or ``:`` is one all the same.
 
 The regular expression runs in the JVM over every text; only documents with a
 candidate reach Python.
@@ -34,10 +34,11 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 MAX_RATIO = 2.2
 WINDOW = 4096
 _C = "A-Za-z0-9+/_="
-CANDIDATE = rf"(?<![{_C}-])(?=[{_C}-]{{16}})(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])|(?=[{_C}-]*[a-z][A-Z]))[{_C}-]+"
+CANDIDATE = rf"[{_C}-]{{16,}}"
 _FIND = re.compile(CANDIDATE)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_LETTER = re.compile(r"[A-Za-z]")
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _NAMED = re.compile(r"(?:key|token|secret|passwd|password|pwd|auth|bearer|credential)[a-z0-9_\-]*[\"']?\s*[:=]\s*[\"']?$", re.IGNORECASE)
 
@@ -70,7 +71,7 @@ def scan(text: str, path: str = VOCABULARY, limit: float = MAX_RATIO):
         if len(run) < 16 or _UUID.fullmatch(run):
             continue
         digest = bool(_HEX.fullmatch(run)) and len(run) in _DIGESTS
-        if digest and not name:
+        if not name and (digest or not _LETTER.search(run)):
             continue
         r = ratio(run, path)
         if r <= limit:

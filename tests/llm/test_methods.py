@@ -294,6 +294,15 @@ def test_secrets_by_brute_force(spark):
     assert list(secret_scan.scan("internationalization2024 understanding-responsibilities")) == []
 
 
+def test_secrets_of_one_case(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choices(letters, k=n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for n in (16, 20, 32) for _ in range(30)] + ["xkqzjvbwmtrplhfd", "qhzvkxwjtrpmbnlcfgds"]
+    got = secret_scan.secrets(spark.createDataFrame([(i, f"it is {k} here") for i, k in enumerate(keys)], "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in got if r.length == len(keys[r.doc_id])}) > 0.95 * len(keys)
+    assert [h[2] for h in secret_scan.scan("password = xkqzjvbwmtrplhfd")] == ["named"]
+    assert list(secret_scan.scan("internationalization anticonstitutionnellement 4910397948386785 2024-01-01-00-00-00 ----------------")) == []
+
+
 def test_rules_by_brute_force(spark, sf):
     rules = [(1, "example.com", "block"), (2, "*.blog.example.net", "block"), (3, "example.net/de/", "block"), (4, "www.example.com", "allow"), (5, "example.org/", "block")]
     hosts = ["example.com", "www.example.com", "a.www.example.com", "badexample.com", "blog.example.net", "x.blog.example.net", "example.net", "example.org"]
