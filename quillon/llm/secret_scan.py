@@ -11,8 +11,10 @@ The regular expression runs in the JVM over every text; only documents with a
 candidate reach Python.
 
 Defined results: NULL and empty texts have no secrets; each occurrence is a
-row, also in repeated rows; a run longer than WINDOW is measured window by
-window and reported if any is random; extra columns are not read.
+row, also in repeated rows; extra columns are not read.  A run is taken apart
+at ``=`` and at UUIDs and digests.  A part that is random as a whole is
+reported whole; of any other the random stretches are (``stretches``), so that
+words around a key do not hide it.
 """
 
 from __future__ import annotations
@@ -33,10 +35,16 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_RATIO = 2.2
 WINDOW = 4096
+OVERLAP = 64
+WORD = 5
 _C = "A-Za-z0-9+/_="
 CANDIDATE = rf"[{_C}-]{{16,}}"
 _FIND = re.compile(CANDIDATE)
-_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Separators that join words and keys to a run.
+_BETWEEN = "+/_-"
+_PIECE = re.compile(r"[A-Za-z0-9]{16,}")
+#: UUIDs, and hexadecimal pieces that may be digests.
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _LETTER = re.compile(r"[A-Za-z]")
 _DIGESTS = {32, 40, 56, 64, 96, 128}
@@ -60,22 +68,74 @@ def ratio(run: str, path: str = VOCABULARY) -> float:
     return min(len(p) / max(1, len(enc.encode_ordinary(p))) for p in parts if len(p) >= 16 or len(parts) == 1)
 
 
+def stretches(run: str, path: str = VOCABULARY, limit: float = MAX_RATIO) -> list[tuple[int, int]]:
+    """Starts and ends of the random stretches of a run that is longer than a key.
+
+    A stretch is what windows of whole tokens and 16 or more characters cover
+    that have at most ``limit`` characters a token, without the separators and
+    words (tokens of WORD or more characters) at its ends; and each piece
+    between separators that is random by itself.  Short words right next to a key
+may be in its stretch.
+    """
+    enc = encoding(path)
+    found = []
+    for base in range(0, max(1, len(run) - OVERLAP), WINDOW - OVERLAP):
+        at = [base]
+        for t in enc.encode_ordinary(run[base : base + WINDOW]):
+            at.append(at[-1] + len(enc.decode_single_token_bytes(t)))
+        j, spans = 0, []
+        for i in range(len(at)):
+            while j < len(at) and at[j] - at[i] < 16:
+                j += 1
+            if j == len(at):
+                break
+            if at[j] - at[i] <= limit * (j - i):
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = j
+                else:
+                    spans.append([i, j])
+        for i, j in spans:
+            while i < j and (at[i + 1] - at[i] >= WORD or run[at[i]] in _BETWEEN):
+                i += 1
+            while i < j and (at[j] - at[j - 1] >= WORD or run[at[j - 1]] in _BETWEEN):
+                j -= 1
+            found.append((at[i], at[j]))
+    found += [m.span() for m in _PIECE.finditer(run)]
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(x for x in found if x[1] - x[0] >= 16 and ratio(run[slice(*x)], path) <= limit):
+        if out and lo < out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def parts(text: str):
+    """Yields (start, part, whether a credential is named right before) of the runs of a text, without what is known to be no secret."""
+    for m in _FIND.finditer(text):
+        start, before = m.start(), text[max(0, m.start() - 64) : m.start()]
+        for part in m.group().rstrip("=").split("="):
+            name = bool(_NAMED.search(before))
+            lo = 0
+            for known in [*_KNOWN.finditer(part), None]:
+                if known and _HEX.fullmatch(known.group()) and (len(known.group()) not in _DIGESTS or name and known.start() == 0):
+                    continue
+                piece = part[lo : known.start() if known else None]
+                whole = piece.strip(_BETWEEN) if lo or known else piece
+                if len(whole) >= 16 and (name and not lo or _LETTER.search(whole)):
+                    yield start + lo + piece.index(whole), whole, name and not lo
+                lo = known.end() if known else lo
+            start, before = start + len(part) + 1, part[-64:] + "="
+
+
 def scan(text: str, path: str = VOCABULARY, limit: float = MAX_RATIO):
     """Yields (start, length, kind, ratio, digest, preview) of the secrets in a text."""
-    for m in _FIND.finditer(text):
-        run, start = m.group().rstrip("="), m.start()
-        name = _NAMED.search(text[max(0, start - 64) : start])
-        if "=" in run:  # name=value written together
-            head, _, tail = run.rpartition("=")
-            name, start, run = _NAMED.search(head + "="), start + len(head) + 1, tail
-        if len(run) < 16 or _UUID.fullmatch(run):
-            continue
-        digest = bool(_HEX.fullmatch(run)) and len(run) in _DIGESTS
-        if not name and (digest or not _LETTER.search(run)):
-            continue
-        r = ratio(run, path)
-        if r <= limit:
-            yield start, len(run), "named" if name else "random", round(r, 4), hashlib.sha256(run.encode()).hexdigest(), run[:4] + "..."
+    for start, part, name in parts(text):
+        r = ratio(part, path)
+        for lo, hi in [(0, len(part))] if r <= limit else stretches(part, path, limit):
+            run = part[lo:hi]
+            if name or _LETTER.search(run):
+                yield start + lo, len(run), "named" if name else "random", round(ratio(run, path), 4), hashlib.sha256(run.encode()).hexdigest(), run[:4] + "..."
 
 
 def secrets(docs: DataFrame, vocabulary: str = VOCABULARY, limit: float = MAX_RATIO) -> DataFrame:

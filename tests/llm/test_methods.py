@@ -303,6 +303,25 @@ def test_secrets_of_one_case(spark):
     assert list(secret_scan.scan("internationalization anticonstitutionnellement 4910397948386785 2024-01-01-00-00-00 ----------------")) == []
 
 
+def test_secrets_among_words():
+    rng = random.Random(9)
+    path = "internal/documents/production/engineering/database/service/accounts/configuration/"
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    assert list(secret_scan.scan(path + "settings " + path * 40)) == []
+    for n in (20, 28, 40):
+        for before, after in ((path, ""), (path, "/settings/production"), (path * 60, ""), ("", "/" + path), ("understanding-the-", "-of-responsibilities-and-engineering")):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(20)]
+            at = 4 + len(before)
+            hits = [[h for h in secret_scan.scan(f"see {before}{k}{after} here") if h[0] <= at and at + n <= h[0] + h[1]] for k in keys]
+            assert sum(len(h) == 1 for h in hits) >= 19
+            assert after or sum(h[:1] != [] and h[0][:2] == (at, n) for h in hits) >= 17
+    for n in (28, 40):  # with separators inside
+        keys = ["".join(rng.choices(letters + "+/", k=n)) for _ in range(50)]
+        assert sum(any(h[1] >= 16 for h in secret_scan.scan(f"see {path}{k} here")) for k in keys) >= 48
+    assert [(h[0], h[1], h[2]) for h in secret_scan.scan("token=Zk3vQ9xT7mB2pL8wR4ya=production")] == [(6, 20, "named")]
+    assert list(secret_scan.scan(path + "123e4567-e89b-12d3-a456-426614174000/" + "ab12" * 10 + "/settings")) == []
+
+
 def test_rules_by_brute_force(spark, sf):
     rules = [(1, "example.com", "block"), (2, "*.blog.example.net", "block"), (3, "example.net/de/", "block"), (4, "www.example.com", "allow"), (5, "example.org/", "block")]
     hosts = ["example.com", "www.example.com", "a.www.example.com", "badexample.com", "blog.example.net", "x.blog.example.net", "example.net", "example.org"]
