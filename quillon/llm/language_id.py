@@ -9,14 +9,16 @@ sorted 64-bit n-gram hashes with a row of final log-probabilities, one column a
 language, and another of contexts with their back-off weights.
 
 The models are fitted on TRAIN documents of each language (labelled rows, a
-bounded sample; the languages are those that the lang column names at least
-MIN_DOCS times) and the limits of rejection on HELD_OUT others: a text is
+bounded sample; the languages are all that the lang column names) with one
+alphabet for all, and the limits of rejection on HELD_OUT others: a text is
 rejected if its cross-entropy, per character, exceeds the mean of its best
 language by SIGMAS standard deviations, of which a part shrinks with length,
 and is past half-way to what texts in the other languages have in that model.
+A language with fewer than FEW held-out rows takes that last mean for its own
+and the others' deviation, so it rejects less.
 
 Defined results: texts without letters (NULL, empty, digits) get 'und' and are
-rejected; with no labelled rows everything does; NULL doc_id is an ordinary
+rejected; with fewer than MIN_DOCS labelled rows of all languages everything does; NULL doc_id is an ordinary
 value; repeated rows give repeated rows; ties go to the first language by
 name; extra columns pass through ``accepted``.
 """
@@ -38,6 +40,7 @@ TRAIN = 200
 HELD_OUT = 100
 MIN_DOCS = 20
 SIGMAS = 6.0
+FEW = 5
 _SPACE = 32
 _R = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 _LETTER: list[np.ndarray] = []
@@ -154,7 +157,7 @@ class Model:
         return [("und" if z else self.langs[b]) for b, z in zip(best, none)], low, none | ~(low <= limit)
 
 
-def kneser_ney(words: dict[str, int]) -> tuple[dict[str, float], dict[str, float], float]:
+def kneser_ney(words: dict[str, int], alphabet: int | None = None) -> tuple[dict[str, float], dict[str, float], float]:
     """Interpolated probabilities of seen n-grams, back-off weights of seen contexts, probability of an unseen character."""
     raw = [Counter() for _ in range(ORDER + 1)]
     for w, n in words.items():
@@ -170,7 +173,7 @@ def kneser_ney(words: dict[str, int]) -> tuple[dict[str, float], dict[str, float
         for g, n in raw[k].items():
             if g[0] == " " and len(g) > 1:
                 counts[k][g] = n
-    alphabet = len(counts[1]) + 1
+    alphabet = alphabet or len(counts[1]) + 1
     prob: dict[str, float] = {}
     back: dict[str, float] = {}
     for k in range(1, ORDER + 1):
@@ -200,10 +203,10 @@ def _probability(g: str, prob: dict, back: dict, unseen: float) -> float:
     return weight * prob[g]
 
 
-def build(words: dict[str, dict[str, int]]) -> Model:
-    """Models of the languages' word counts; without limits of rejection."""
+def build(words: dict[str, dict[str, int]], alphabet: int | None = None) -> Model:
+    """Models of the languages' word counts, over an alphabet of that size or each over its own; without limits of rejection."""
     langs = sorted(words)
-    fitted = [kneser_ney(words[x]) for x in langs]
+    fitted = [kneser_ney(words[x], alphabet) for x in langs]
     grams = sorted({g for p, _, _ in fitted for g in p})
     contexts = sorted({h for _, b, _ in fitted for h in b})
     n = len(langs)
@@ -230,9 +233,8 @@ def fit(docs: DataFrame) -> Model:
     named = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
     pick = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN + HELD_OUT).select("doc_id", "lang", "n").collect()
     size = Counter(r.lang for r in pick)
-    pick = [r for r in pick if size[r.lang] >= MIN_DOCS]
-    cutoff = {x: min(TRAIN, size[x] * 2 // 3) for x in size}
-    if not pick:
+    cutoff = {x: min(TRAIN, max(1, size[x] * 2 // 3)) for x in size}
+    if len(pick) < MIN_DOCS:
         return build({})
     part = spark.createDataFrame([(r.doc_id, r.lang, r.n <= cutoff[r.lang]) for r in pick], "doc_id long, label string, train boolean")
     # At most TRAIN + HELD_OUT rows a language; read once for both uses.
@@ -247,10 +249,11 @@ def fit(docs: DataFrame) -> Model:
                 c = Counter("".join(map(chr, codes[start[i] : end[i]])) for i in use)
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["label", "word", "n"])
 
-    words: dict[str, dict[str, int]] = {x: {} for x in size if size[x] >= MIN_DOCS}
+    words: dict[str, dict[str, int]] = {x: {} for x in size}
     for r in rows.where("train").select("text", "label").mapInArrow(count, "label string, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n")).collect():
         words[r.label][r.word] = r.n
-    model = build({x: w for x, w in words.items() if w})
+    # One alphabet: else a language of a few characters would give an unseen one much.
+    model = build({x: w for x, w in words.items() if w}, len({c for w in words.values() for x in w for c in x}) + 2)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -268,17 +271,24 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array(n), pa.array(ce[np.arange(len(texts)), col]), pa.array(spread), pa.array(ce.tolist(), pa.list_(pa.float64()))], ["label", "n", "ce", "spread", "each"])
 
     held = rows.where("NOT train").select("text", "label").mapInArrow(measure, "label string, n double, ce double, spread double, each array<double>").toPandas()
+    few = []
     for i, x in enumerate(model.langs):
         h = held[(held["label"] == x) & (held["n"] > 0)]
         if len(h):
             model.mean[i] = np.average(h["ce"], weights=h["n"])
             model.var_char[i] = np.average(h["spread"], weights=h["n"])
             model.var_doc[i] = max(1e-4, float(np.mean((h["ce"] - model.mean[i]) ** 2 - model.var_char[i] / h["n"])))
-        else:
-            model.mean[i], model.var_doc[i] = np.inf, 0.0
         other = held[(held["label"] != x) & (held["n"] > 0)]
         if len(other):
             model.foreign[i] = float(np.mean([e[i] for e in other["each"]]))
+        if len(h) < FEW:
+            few.append(i)
+    sure = [i for i in range(len(model.langs)) if i not in few]
+    for i in few:
+        known = np.isfinite(model.foreign[i])
+        model.mean[i], model.var_doc[i] = model.foreign[i] if known else np.inf, 0.0
+        model.foreign[i] = model.mean[i]
+        model.var_char[i] = max((model.var_char[j] for j in sure), default=0.0)
     return model
 
 

@@ -186,6 +186,21 @@ def test_language_on_held_out_rows(spark):
     assert all(model.decide(junk)[2])
 
 
+@pytest.mark.parametrize("rows", [1, 2, 5, 19])
+def test_language_of_few_rows(spark, rows):
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents").where("length(text) > 500")
+    few = docs.where("lang = 'es'").orderBy("doc_id").limit(rows)
+    model = language_id.fit(docs.where("lang <> 'es' AND pmod(doc_id, 2) = 0").unionByName(few))
+    rest = docs.join(few.select("doc_id"), "doc_id", "left_anti").where("lang = 'es' OR pmod(doc_id, 2) = 1").select("lang", "text").collect()
+    lang, _, rejected = model.decide([r.text for r in rest])
+    assert "es" in model.langs
+    for x in ("en", "de", "fr", "es"):
+        got = [a == x and not z for r, a, z in zip(rest, lang, rejected) if r.lang == x]
+        assert sum(got) / len(got) > 0.95, (x, sum(got), len(got))
+    junk = ["".join(random.Random(i).choice("bcdfghjklmnpqrstvwxz") for _ in range(300)) for i in range(5)]
+    assert all(model.decide(junk)[2])
+
+
 # --- 7 near duplicates -------------------------------------------------------
 
 
