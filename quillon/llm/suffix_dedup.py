@@ -13,7 +13,8 @@ a 64-bit hash of its words); where a minimiser has several different segments,
 their words go to a shard's suffix array, built by external induced sorting
 (``induced_sort``) over word ids in two digits.  Runs of suffixes that share
 WORDS words or more and come from two documents are repeats.  Shards are many
-and of bounded size on average; a larger one spills to disk.
+and of bounded size on average.  A worker holds its shard in memory; only the
+sort's queues and arrays of a larger one go to disk.
 
 Defined results: NULL and short texts hold no repeat; words are what white
 space separates, compared exactly; repeated rows of one doc_id are one
