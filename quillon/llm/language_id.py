@@ -80,7 +80,7 @@ def unique_words(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
 def ngram_hash(gram: str) -> int:
     """The hash that the sorted arrays hold, of one n-gram."""
     c = np.array([ord(x) for x in gram], np.uint32)
-    return int(common.span_hashes(_code_hash(c), np.array([0]), np.array([len(c)]))[0])
+    return int(common.gram_hashes(_code_hash(c), np.array([0]), np.array([len(c)]))[0])
 
 
 @dataclass
@@ -116,7 +116,7 @@ class Model:
         todo, k = np.arange(len(pos)), have.copy()
         while len(todo):
             p = pos[todo] + 1
-            h = common.span_hashes(sym, p - k[todo], p)
+            h = common.gram_hashes(sym, p - k[todo], p)
             i = np.searchsorted(self.grams, h)
             i[i == len(self.grams)] = 0
             hit = self.grams[i] == h
@@ -126,7 +126,7 @@ class Model:
             total[todo[last]] += self.unseen
             todo = todo[~last]
             p = pos[todo]
-            c = common.span_hashes(sym, p + 1 - k[todo], p)
+            c = common.gram_hashes(sym, p + 1 - k[todo], p)
             j = np.searchsorted(self.contexts, c)
             j[j == len(self.contexts)] = 0
             seen = self.contexts[j] == c
@@ -216,7 +216,7 @@ def build(words: dict[str, dict[str, int]], alphabet: int | None = None) -> Mode
     def table(keys: list[str], values: np.ndarray):
         c = np.array([ord(x) for k in keys for x in k], np.uint32)
         ends = np.cumsum([len(k) for k in keys], dtype=np.int64) if keys else np.zeros(0, np.int64)
-        h = common.span_hashes(_code_hash(c), np.concatenate([[0], ends[:-1]]).astype(np.int64) if keys else ends, ends)
+        h = common.gram_hashes(_code_hash(c), np.concatenate([[0], ends[:-1]]).astype(np.int64) if keys else ends, ends)
         order = np.argsort(h)
         return h[order], values[order]
 

@@ -208,23 +208,56 @@ def test_tree_join_is_exact():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
     a[300:600] = a[:300] ^ (np.uint64(1) << rng.integers(0, 63, 300, dtype=np.uint64))
-    level = rng.integers(0, 30, 900)
-    level[300:600] = level[:300] + rng.integers(0, 3, 300)
-    x, y = simhash_dedup.tree_join(a, level, a, level, 12)
-    d = np.bitwise_count(a[:, None] ^ a[None]).astype(int) + np.abs(level[:, None] - level[None])
-    assert set(zip(x.tolist(), y.tolist())) == set(zip(*(i.tolist() for i in np.nonzero(d <= 12))))
-    nodes = simhash_dedup.upper_tree(a, level, 3)
-    idx, shard, home = simhash_dedup.route(nodes, 3, a, level, 12)
-    at = {int(i): int(s) for i, s, h in zip(idx, shard, home) if h}
-    assert len(at) == 900 and home.sum() == 900
-    seen = set(zip(idx.tolist(), shard.tolist()))
-    assert all((int(i), at[int(j)]) in seen for i, j in zip(x, y))  # each query visits the homes of all its pairs
+    for radius in (1, 3, 12):
+        pairs = [np.concatenate(z) for z in zip(*simhash_dedup.tree_join(a, a, radius))]
+        d = np.bitwise_count(a[:, None] ^ a[None]).astype(int)
+        assert set(zip(*(z.tolist() for z in pairs))) == set(zip(*(i.tolist() for i in np.nonzero(d <= radius))))
+        nodes = simhash_dedup.upper_tree(a, 3, radius)
+        idx, shard, home = simhash_dedup.route(nodes, 3, a, radius)
+        at = {int(i): int(s) for i, s, h in zip(idx, shard, home) if h}
+        assert len(at) == 900 and home.sum() == 900
+        seen = set(zip(idx.tolist(), shard.tolist()))
+        assert all((int(i), at[int(j)]) in seen for i, j in zip(*pairs))  # each query visits the homes of all its pairs
+        assert radius > 1 or len(idx) < 2 * len(a)  # the bounds prune where the radius is small against the spread
+
+
+def test_fingerprint_by_definition():
+    texts = ["The cat sat on the mat, the CAT.", "a", "x" * 50 + " y y y y", " ", "aa bb cc dd ee ff gg hh"]
+    count, a, b = simhash_dedup.fingerprint(pa.array(texts))
+
+    def majority(features):  # hash, weight
+        total = sum(w for _, w in features)
+        return sum(1 << k for k in range(64) if 2 * sum(w for h, w in features if h >> k & 1) > total)
+
+    for i, t in enumerate(texts):
+        ws = t.lower().encode().split()
+        assert count[i] == len(ws)
+        h = {w: int(common.byte_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in ws}
+        # np.packbits keeps the bits of each byte in place, so the value is that of a plain majority
+        assert int(a[i]) == majority([(h[w], round(4 * min(len(w), 12) * (1 + np.log(n)))) for w, n in Counter(ws).items()])
+        m = (1 << 64) - 1
+        pairs = [int(common.mix(np.array([(h[x] * 0x9E3779B97F4A7C15 + h[y]) & m], np.uint64))[0]) for x, y in zip(ws, ws[1:])] or [h[w] for w in ws]
+        assert int(b[i]) == majority([(x, 1) for x in pairs])
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), max_size=40), st.integers(1, 5))
+def test_forest(pairs, parts):
+    key = np.array([(8 * i) % 21 for i in range(21)])
+    forest = simhash_dedup.Forest(key)
+    for k in range(parts):
+        forest.add(*(np.array([p[z] for p in pairs[k::parts]], np.int64) for z in (0, 1)))
+    root = list(range(21))
+    for _ in range(21):
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y], key=lambda i: key[i])
+    assert dict(zip(*(z.tolist() for z in forest.edges()))) == {i: r for i, r in enumerate(root) if r != i}
 
 
 def near_groups(docs):
     """doc_id to smallest id of its group, by comparing all pairs."""
     docs = sorted((d, t) for d, t in docs if d is not None and t is not None)
-    count, a, b, level = simhash_dedup.fingerprint(pa.array([t for _, t in docs], pa.string()))
+    count, a, b = simhash_dedup.fingerprint(pa.array([t for _, t in docs], pa.string()))
     ids = [d for d, _ in docs]
     root = {d: d for d, n in zip(ids, count) if n}
 
@@ -233,7 +266,7 @@ def near_groups(docs):
             x = root[x]
         return x
 
-    d1 = np.bitwise_count(a[:, None] ^ a[None]).astype(int) + np.abs(level[:, None] - level[None])
+    d1 = np.bitwise_count(a[:, None] ^ a[None])
     d2 = np.bitwise_count(b[:, None] ^ b[None])
     for i, j in zip(*np.nonzero((d1 <= simhash_dedup.RADIUS) & (d2 <= simhash_dedup.CONFIRM))):
         if i < j and count[i] and count[j]:
