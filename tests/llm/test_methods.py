@@ -66,7 +66,7 @@ def test_neighbours_by_brute_force(spark, dim):
 
 
 @settings(deadline=None, max_examples=60)
-@given(st.lists(st.integers(1, 3), min_size=1, max_size=120), st.sampled_from([4, 1 << 20]))
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=120), st.sampled_from([4, 33, 1 << 20]))
 def test_suffix_array(xs, memory):
     t = np.array([*xs, 0], np.int32)
     sa, lcp = suffix_array(t, 4, memory)
@@ -78,6 +78,71 @@ def test_suffix_array(xs, memory):
         assert lcp[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+SHARD_TEST = """
+import resource
+import numpy as np
+from quillon.llm import induced_sort, suffix_dedup
+MEMORY = 20_000
+rng = np.random.default_rng(4)
+vocabulary = rng.integers(1, 1 << 62, 5000, dtype=np.uint64)
+texts = [rng.choice(vocabulary, rng.integers(80, 400)) for _ in range(1000)]
+for k in range(0, 1000, 10):  # every tenth text holds 70 words of the one before
+    if k:
+        texts[k][-70:] = texts[k - 1][:70]
+hashes, size = np.concatenate(texts), np.array([len(t) for t in texts])
+assert 2 * len(hashes) > 20 * MEMORY
+np.random.default_rng(0)
+held = int(next(x for x in open("/proc/self/status") if x.startswith("VmData")).split()[1]) * 1024
+resource.setrlimit(resource.RLIMIT_DATA, (held + 60 * 8 * MEMORY + (4 << 20), -1))
+ids = np.arange(1000)
+try:
+    list(suffix_dedup.repeated_windows(hashes, size, ids, ids, 50, 1 << 30))
+    raise SystemExit("the limit holds nothing back")
+except MemoryError:
+    pass
+import gc; gc.collect()
+got = [(int(r), int(a), int(b)) for rows in suffix_dedup.repeated_windows(hashes, size, ids, ids, 50, MEMORY) for r, a, b in zip(*rows)]
+resource.setrlimit(resource.RLIMIT_DATA, (-1, -1))
+where = {}
+for i, t in enumerate(texts):
+    for a in range(len(t) - 49):
+        where.setdefault(t[a : a + 50].tobytes(), []).append((i, a))
+want = {x for xs in where.values() if len({i for i, _ in xs}) > 1 for x in xs}
+assert {(r, w) for r, a, b in got for w in range(a, b + 1)} == want and len(want) > 2000
+"""
+
+
+def test_shard_larger_than_memory():
+    """A shard of more than 20 times MEMORY: right, and with bounded memory beside the input."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", SHARD_TEST], cwd=Path(suffix_dedup.__file__).parents[2], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_words_that_defeat_powers_of_two(spark):
+    """Thue-Morse sequences, which hashes modulo 2^64 can't tell apart."""
+    t = [bin(i).count("1") & 1 for i in range(4096)]
+    one, two = "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+    raw = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
+    h = common.words(raw, np.array([0, len(raw)]))[3]
+    assert h[0] == h[2] != h[1]
+    w = np.array([11, 13], np.uint64)
+    both = np.concatenate([w[t], w[[1 - x for x in t]]])
+    a, b = common.span_hashes(both, np.array([0, 4096]), np.array([4096, 8192]))
+    assert a != b
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((one[:3000], two[:3000]))], "doc_id long, text string")
+    spans = sorted(tuple(r) for r in suffix_dedup.repeats(docs).collect())
+    where = {}
+    for d, x in enumerate((one[:3000], two[:3000])):
+        for a in range(2951):
+            where.setdefault(x[a : a + 50], set()).add((d, a))
+    want = {x for xs in where.values() if len({d for d, _ in xs}) > 1 for x in xs}
+    assert {(d, a) for d, s, e, _ in spans for a in range(s, e - 49)} == want
+
+
 def test_repeats_by_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
