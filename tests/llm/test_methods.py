@@ -60,6 +60,18 @@ def test_neighbours_by_brute_force(spark, dim):
     np.fill_diagonal(d, np.inf)
     want = {(i, k + 1): int(j) for i in range(len(v)) for k, j in enumerate(np.lexsort((np.arange(len(v)), d[i]))[:5])}
     assert got == want
+    some = neighbours.nearest(df, 5, block=50, every=7).collect()
+    assert {(r.vec_id, r["rank"]): r.neighbour_id for r in some} == {q: j for q, j in want.items() if q[0] % 7 == 0}
+
+
+def test_neighbours_among_close_vectors(spark):
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(4, 16)), 60, axis=0) + 1e-4 * rng.normal(size=(240, 16)) + 50  # far closer than a code's step
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r.vec_id, r["rank"]): r.neighbour_id for r in neighbours.nearest(df, 4, block=100).collect()}
+    assert got == {(i, k + 1): int(j) for i in range(240) for k, j in enumerate(np.argsort(d[i])[:4])}
 
 
 # --- 3 suffix arrays ---------------------------------------------------------
@@ -197,6 +209,60 @@ def test_packing_swap_empties_a_bin():
     assert sorted(map(sorted, bins)) == [[0, 3], [1, 2, 4]]
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying all ways."""
+    best = len(sizes)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for b in range(len(room)):
+            if room[b] >= sizes[k]:
+                place(k + 1, room[:b] + [room[b] - sizes[k]] + room[b + 1 :])
+        place(k + 1, [*room, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_the_optimum():
+    rng = random.Random(6)
+    over = 0
+    for _ in range(150):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        made = packing.improve(packing.best_fit(sizes, 20), sizes, 20)
+        over += len(made) - fewest_bins(sizes, 20)
+        # No exchange of one against none, one or two is left that would fill a fuller bin more.
+        fill = [sum(sizes[i] for i in b) for b in made]
+        for d, b in itertools.permutations(range(len(made)), 2):
+            if fill[d] <= fill[b] < 20:
+                gives = [sizes[i] for i in made[d]] + [sizes[i] + sizes[j] for i, j in itertools.combinations(made[d], 2)]
+                assert not any(0 < g - t <= 20 - fill[b] for g in gives for t in [0, *(sizes[i] for i in made[b])])
+    assert over <= 3
+
+
+def test_packing_of_many_half_full_bins():
+    import time
+
+    for sizes in ([1025] * 20_000, [700 + i % 300 for i in range(20_000)], [1025 - i % 2 for i in range(20_000)]):
+        begun = time.time()
+        bins = packing.improve(packing.best_fit(sizes, 2048), sizes, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(20_000)) and max(sum(sizes[i] for i in b) for b in bins) <= 2048
+        assert time.time() - begun < 30
+
+
+def test_packing_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, "w " * (10 + i % 2), "x") for i in range(900)] + [(5, "", "x")] * 7, "doc_id long, text string, shard string")
+    rows = packing.pack(docs, capacity=64, shard=100).collect()
+    assert Counter((r.doc_id, r.tokens) for r in rows) == Counter((r.doc_id, len((r.text or "").split())) for r in docs.collect())
+    assert len({r.bin_id.split("-")[0] for r in rows if r.bin_id}) == 9
+    assert sum(r.bin_id is None for r in rows) == 7
+
+
 def test_packing_covers_every_token(spark):
     docs = spark.createDataFrame([(i, "w " * (i * 37 % 900)) for i in range(200)], "doc_id long, text string")
     rows = packing.pack(docs, capacity=256, shard=50).collect()
