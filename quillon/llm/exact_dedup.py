@@ -2,8 +2,10 @@
 
 Documents are grouped by length, the groups that hold more than one by a hash
 of the first bytes, and only what survives both is read in full and hashed.
-The first two levels come from one scan and shuffle 24 bytes a document.  What a
-SHA-256 cannot tell apart counts as equal.
+Lengths and prefix hashes come from one scan, 24 bytes a document, as a column
+store reads the text for either.  Groups are counted by aggregates that combine
+before the shuffle, so one of any number of copies is no row and no task of its
+own.  What a SHA-256 cannot tell apart counts as equal.
 
 Defined results: a NULL text equals nothing and is kept; empty texts equal each
 other; the smallest doc_id of a group is kept (a NULL doc_id is never removed
@@ -13,7 +15,7 @@ one document and one of them is kept; extra columns pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,28 +29,30 @@ def _head():
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """doc_id, length and prefix hash of documents that share both with another row.
-
-    A window counts the rows of a key: a group of any size is sorted and
-    spilled, never held as one row.
-    """
+    """__len and __head that several rows share: first the lengths of more than one, then with these the prefix hashes."""
     known = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    keys = known.select("doc_id", F.octet_length("text").alias("__len"), _head().alias("__head"))
-    return keys.withColumn("__n", F.count("*").over(Window.partitionBy(*_KEY))).where("__n > 1").drop("__n")
+    keys = common.cut(known.select(F.octet_length("text").alias("__len"), _head().alias("__head")))
+    sizes = common.cut(keys.groupBy("__len").agg(F.count("*").alias("n")).where("n > 1").select("__len"))
+    heads = keys.join(common.sized(sizes), "__len", "left_semi").groupBy(*_KEY).agg(F.count("*").alias("n"))
+    return common.cut(heads.where("n > 1").select(*_KEY))
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, __len, __head, __full, n_rows, keep_id, n_copies of each text that is in several rows.
 
-    Only the texts of surviving documents are read in full.
+    Only the texts of surviving documents are read in full, unless their keys
+    are too many to broadcast: then hashing all texts where they are is less
+    than moving them.
     """
-    ids = common.sized(common.cut(survivors(docs).select("doc_id").distinct()))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    rows = texts.select("doc_id", F.octet_length("text").alias("__len"), _head().alias("__head"), F.sha2("text", 256).alias("__full"))
-    rows = rows.groupBy("doc_id", *_KEY, "__full").agg(F.count("*").alias("n_rows"))
-    same = Window.partitionBy("__len", "__full")
-    rows = rows.withColumns({"keep_id": F.min("doc_id").over(same), "n_copies": F.count("*").over(same)})
-    return rows.where("n_copies > 1 OR n_rows > 1")
+    keys = survivors(docs)
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.octet_length("text").alias("__len"), _head().alias("__head"))
+    hashed = ("doc_id", *_KEY, F.sha2("text", 256).alias("__full"))
+    few = keys.count() <= common.BROADCAST_ROWS
+    rows = rows.join(F.broadcast(keys), _KEY, "left_semi").select(*hashed) if few else rows.select(*hashed).join(keys, _KEY, "left_semi")
+    rows = common.cut(rows.groupBy("doc_id", *_KEY, "__full").agg(F.count("*").alias("n_rows")))
+    same = rows.groupBy("__len", "__full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies"), F.max("n_rows").alias("most"))
+    same = common.cut(same.where("n_copies > 1 OR most > 1").drop("most"))
+    return rows.join(common.sized(same), ["__len", "__full"]).where("n_copies > 1 OR n_rows > 1")
 
 
 def groups(docs: DataFrame) -> DataFrame:
