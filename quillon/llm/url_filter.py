@@ -3,20 +3,21 @@
 A URL becomes a key like ``com,example,www,/path?query``; a rule for a host
 (all its subdomains) or for a host and path is a prefix of such keys, hence an
 interval of their order.  Keys and rules are cut at common borders, a rule
-going to each range that its interval meets, sorted, and swept once with a
-stack of the rules that enclose the current key.  The longest rule decides;
-among equal prefixes the smallest rule_id.
+going to each range that its interval meets, sorted as bytes, and swept once
+with a stack of the rules that enclose the current key.  A rule is two events,
+its start and its end (a byte that no key holds after the prefix); between two
+events the stack stays as it is, so the pages there are decided at once.  The
+longest rule decides; among equal prefixes the smallest rule_id.
 
 Defined results: a NULL, blank or malformed URL (no ``//host``) meets no rule
 and is allowed; repeated pages give repeated rows; an empty rule table allows
-all; rules with a NULL or malformed pattern match nothing; extra columns are
-not read.
+all; rules with a NULL or malformed pattern match nothing; page_id is of any
+type and passes through; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,77 +56,69 @@ def rule_prefixes(rules: DataFrame) -> DataFrame:
     """rule_id, action, prefix of each usable rule; one rule for each prefix."""
     url = F.concat(F.lit("//"), F.regexp_replace(F.trim("pattern"), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//|^\*\.", ""))
     k = key(url)
-    whole = ~F.substring(url, 3, 1 << 20).contains("/")
+    whole = ~url.substr(F.lit(3), F.length(url)).contains("/")
     prefix = F.when(whole, F.regexp_replace(k, "/$", "")).otherwise(k)
     return rules.select("rule_id", "action", prefix.alias("prefix")).where("prefix IS NOT NULL").groupBy("prefix").agg(F.min(F.struct("rule_id", "action")).alias("r")).select("r.*", "prefix")
 
 
-def sweep(rows):
-    """Yields (page_id, url, prefix, n_rules) for rows of (shard, key, page_id, url, rule) in order of shard, key, pages last."""
-    stack: list[tuple[str, object]] = []
-    at = None
-    for shard, k, page, url, is_rule, rule in rows:
-        if shard != at:
-            stack, at = [], shard
-        while stack and not k.startswith(stack[-1][0]):
-            stack.pop()
-        if is_rule:
-            stack.append((k, rule))
-        else:
-            yield page, url, stack[-1][1] if stack else None, len(stack)
+#: Kinds of rows in the order of equal keys.
+_START, _PAGE, _END = 0, 1, 2
+
+
+def sweep(batches):
+    """Yields page_id, url, rule_id, n_rules of the pages of one range; rows are sorted by key and kind."""
+    stack: list[int] = []
+    for b in batches:
+        kind, rules = b.column("kind").to_numpy(), b.column("rule_id")
+        rule, depth = np.zeros(len(b), np.int64), np.zeros(len(b), np.int32)
+        at = 0
+        for e in [*np.flatnonzero(kind != _PAGE).tolist(), len(b)]:
+            rule[at:e], depth[at:e] = stack[-1] if stack else 0, len(stack)
+            if e < len(b):
+                if kind[e] == _START:
+                    stack.append(rules[e].as_py())
+                else:  # nested prefixes end in the reverse order of their starts
+                    stack.pop()
+            at = e
+        pages = kind == _PAGE
+        take = pa.array(pages)
+        yield pa.RecordBatch.from_arrays([b.column("page_id").filter(take), b.column("url").filter(take), pa.array(rule[pages], mask=depth[pages] == 0), pa.array(depth[pages])], ["page_id", "url", "rule_id", "n_rules"])
 
 
 def match(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """page_id, url, rule_id, action, n_rules for each row of ``pages``."""
     spark = pages.sparkSession
+    common.small_batches(spark)
     if rules is None:
         rules = spark.createDataFrame(DEFAULT_RULES, "rule_id int, pattern string, action string")
-    keyed = pages.select("page_id", "url", key(F.col("url")).alias("key"))
+    keyed = pages.select("page_id", "url", F.encode(key(F.col("url")), "UTF-8").alias("key"))
     known = keyed.where("key IS NOT NULL")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = sorted(r[0] for r in common.hash_sample(known.select("key", "page_id"), SAMPLE, "key", "page_id").collect())
-    bounds = sorted({some[len(some) * i // n] for i in range(1, n)}) if some else []
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    some = sorted(bytes(r[0]) for r in common.hash_sample(known.select("key", F.hash("page_id").alias("h")), SAMPLE, "key", "h").collect())
+    bounds = np.array(sorted({some[len(some) * i // n] for i in range(1, n)}) if some else [], object)
 
     def place(batches):
         for b in batches:
-            k = b.column("key").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(bounds, x) for x in k], pa.int32()), b.column("key"), b.column("page_id"), b.column("url")], ["shard", "key", "page_id", "url"])
+            k = np.array([*b.column("key").to_pylist(), None], object)[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, k, "right").astype(np.int32)), *(b.column(c) for c in ("key", "page_id", "url"))], ["shard", "key", "page_id", "url"])
 
     def reach(batches):
         for b in batches:
             p = b.column("prefix").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([list(range(bisect_right(bounds, x), bisect_right(bounds, x + "\U0010ffff") + 1)) for x in p], pa.list_(pa.int32())), b.column("prefix"), b.column("rule_id").cast(pa.int64())], ["shards", "key", "rule_id"])
+            lo, hi = (np.searchsorted(bounds, np.array([*(x + end for x in p), None], object)[:-1], "right").tolist() for end in (b"", b"\xff"))
+            yield pa.RecordBatch.from_arrays([pa.array([list(range(x, y + 1)) for x, y in zip(lo, hi)], pa.list_(pa.int32())), b.column("prefix"), b.column("rule_id")], ["shards", "prefix", "rule_id"])
 
     kind = dict(keyed.dtypes)["page_id"]
     prefixes = rule_prefixes(rules).withColumn("rule_id", F.col("rule_id").cast("long"))
-    active = prefixes.select("prefix", "rule_id").mapInArrow(reach, "shards array<int>, key string, rule_id long").select(F.explode("shards").alias("shard"), "key", F.lit(None).cast(kind).alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(0).alias("last"), "rule_id")
-    there = known.select("key", "page_id", "url").mapInArrow(place, f"shard int, key string, page_id {kind}, url string").select("shard", "key", "page_id", "url", F.lit(1).alias("last"), F.lit(None).cast("long").alias("rule_id"))
-    both = active.unionByName(there).repartition(n, "shard").sortWithinPartitions("shard", "key", "last")
-    page_type = pa.int64() if kind == "bigint" else None
-
-    def run(batches):
-        def rows():
-            for b in batches:
-                c = [b.column(k).to_pylist() for k in ("shard", "key", "page_id", "url", "last", "rule_id")]
-                for s, k, p, u, last, r in zip(*c):
-                    yield s, k, p, u, not last, r
-
-        part: list = []
-        for row in sweep(rows()):
-            part.append(row)
-            if len(part) == 8192:
-                yield table(part)
-                part = []
-        if part:
-            yield table(part)
-
-    def table(part):
-        p, u, r, m = zip(*part)
-        return pa.RecordBatch.from_arrays([pa.array(p, page_type), pa.array(u, pa.string()), pa.array(r, pa.int64()), pa.array(m, pa.int32())], ["page_id", "url", "rule_id", "n_rules"])
-
-    hits = both.mapInArrow(run, f"page_id {kind}, url string, rule_id long, n_rules int")
+    active = prefixes.select(F.encode("prefix", "UTF-8").alias("prefix"), "rule_id").mapInArrow(reach, "shards array<int>, prefix binary, rule_id long")
+    ends = F.array(F.struct(F.col("prefix").alias("key"), F.lit(_START).alias("kind")), F.struct(F.concat("prefix", F.unhex(F.lit("FF"))).alias("key"), F.lit(_END).alias("kind")))
+    active = active.select(F.explode("shards").alias("shard"), "prefix", "rule_id").select("shard", F.explode(ends).alias("e"), "rule_id")
+    active = active.select("shard", "e.key", "e.kind", F.lit(None).cast(kind).alias("page_id"), F.lit(None).cast("string").alias("url"), "rule_id")
+    there = known.select("key", "page_id", "url").mapInArrow(place, f"shard int, key binary, page_id {kind}, url string").select("shard", "key", F.lit(_PAGE).alias("kind"), "page_id", "url", F.lit(None).cast("long").alias("rule_id"))
+    both = active.unionByName(there).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("key", "kind")
+    hits = both.select("kind", "page_id", "url", "rule_id").mapInArrow(sweep, f"page_id {kind}, url string, rule_id long, n_rules int")
     hits = hits.unionByName(keyed.where("key IS NULL").select("page_id", "url", F.lit(None).cast("long").alias("rule_id"), F.lit(0).alias("n_rules")))
-    actions = prefixes.select("rule_id", "action").groupBy("rule_id").agg(F.min("action").alias("action"))
+    actions = common.cut(prefixes.groupBy("rule_id").agg(F.min("action").alias("action")))
     return hits.join(common.sized(actions), "rule_id", "left").select("page_id", "url", "rule_id", F.coalesce("action", F.lit("allow")).alias("action"), "n_rules")
 
 
