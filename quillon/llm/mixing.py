@@ -14,10 +14,12 @@ is dropped, then the last document is drawn.
 Random numbers come from the seed and the shard, so runs repeat.
 
 Defined results: a NULL source is a source of its own; a document without
-words counts 0 tokens; a NULL doc_id is never selected; rows of one doc_id are
-one document with their tokens summed and the smallest source; sources without
-a weight have weight 0 if weights are given; an empty table gives no rows;
-extra columns pass through ``mix``.
+words counts 0 tokens; rows of one doc_id are one document with their tokens
+summed and the smallest source; rows without a doc_id are a document for each
+source and text, and fly with the others; sources without a weight have weight
+0 if weights are given; an empty table gives no rows; extra columns pass
+through ``mix``.  Beyond SOURCES sources it is an error, as the driver holds a
+row of each.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ BUDGET = 0.5
 SHARD = 20_000
 FAN_IN = 64
 SEED = 17
+SOURCES = 1_000_000
 _EPS = 1e-9
 
 
@@ -101,24 +104,37 @@ def landing(pi: list[float], tokens: list[int], rng: random.Random) -> list[floa
     return [p if p in (0.0, 1.0) else float(rng.random() < p) for p in pi]
 
 
+def _unit():
+    """What tells documents without a doc_id apart; 0 for those that have one."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())).otherwise(F.lit(0))
+
+
 def sample(docs: DataFrame, weights: dict | None = None, budget: float = BUDGET) -> DataFrame:
     """doc_id, source, tokens, probability, selected of each document."""
+    return _decided(docs, weights, budget).drop("unit")
+
+
+def _decided(docs: DataFrame, weights: dict | None, budget: float) -> DataFrame:
+    """``sample`` with the unit that tells documents without a doc_id apart."""
     spark = docs.sparkSession
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), common.n_words().alias("tokens"))
-    units = common.cut(rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _unit().alias("unit"), F.col("source").cast("string").alias("source"), common.n_words().alias("tokens"))
+    units = common.cut(rows.groupBy("doc_id", "unit").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens")))
     # One row for each source: a configured list, to which the weights are given.
-    totals = {r.source: (r.tokens, r.n) for r in units.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}
+    found = units.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: map them to fewer before mixing")
+    totals = {r.source: (r.tokens, r.n) for r in found}
     tokens = {s: t for s, (t, _) in totals.items()}
     pi = allot(tokens, weights, budget * sum(tokens.values()))
     shares = spark.createDataFrame([(s, pi[s], -(-n // SHARD)) for s, (_, n) in totals.items()], "s string, probability double, shards long")
     live = units.join(common.sized(shares), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    live = live.withColumns({"p": F.col("probability"), "shard": F.pmod(F.xxhash64("doc_id"), F.col("shards"))})
-    schema = "doc_id long, source string, tokens long, probability double, shards long, p double, shard long"
-    live = live.select("doc_id", "source", "tokens", "probability", "shards", "p", "shard")
+    live = live.withColumns({"p": F.col("probability"), "shard": F.pmod(F.when(F.col("doc_id").isNull(), F.col("unit")).otherwise(F.xxhash64("doc_id")), F.col("shards"))})
+    schema = "doc_id long, unit long, source string, tokens long, probability double, shards long, p double, shard long"
+    live = live.select("doc_id", "unit", "source", "tokens", "probability", "shards", "p", "shard")
 
     def fly(last: bool):
         def run(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("p", "ascending"), ("doc_id", "ascending")])
+            t = t.sort_by([("p", "ascending"), ("doc_id", "ascending"), ("unit", "ascending")])
             ids, tok, p = (t.column(k).to_pylist() for k in ("doc_id", "tokens", "p"))
             rng = random.Random(f"{SEED}/{t.column('source')[0].as_py()}/{t.column('shard')[0].as_py()}/{last}")
             order = list(range(len(ids)))
@@ -148,13 +164,21 @@ def sample(docs: DataFrame, weights: dict | None = None, budget: float = BUDGET)
             shards = -(-shards // FAN_IN)
         else:
             keys = []
-    return done.select("doc_id", "source", "tokens", F.round("probability", 9).alias("probability"), (F.col("p") == 1).alias("selected"))
+    return done.select("doc_id", "unit", "source", "tokens", F.round("probability", 9).alias("probability"), (F.col("p") == 1).alias("selected"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, budget: float = BUDGET) -> DataFrame:
     """The selected rows of ``docs``, in its columns."""
-    ids = common.cut(sample(docs, weights, budget).where("selected").select("doc_id"))
-    return docs.join(common.sized(ids), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    cols = docs.columns
+    unit, i, u = (common.fresh(cols, k) for k in ("unit", "id_", "unit_"))
+    chosen = common.cut(_decided(docs, weights, budget).where("selected").select(F.col("doc_id").alias(i), F.col("unit").alias(u)))
+    named, other = common.cut(chosen.where(F.col(i).isNotNull()).select(F.col(i).alias("doc_id"))), common.cut(chosen.where(F.col(i).isNull()).select(u))
+    kept = docs.join(common.sized(named), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in cols])
+    if other.isEmpty():
+        return kept
+    rest = docs.where(F.col("doc_id").isNull()).withColumn(unit, _unit())
+    rest = rest.join(common.sized(other), F.col(unit) == F.col(u), "left_semi")
+    return kept.unionByName(rest.select(*[F.col(f"`{c}`") for c in cols]))
 
 
 def op10_source_mixing(spark, sf_dir):

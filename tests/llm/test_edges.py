@@ -1,6 +1,7 @@
 """Every operator over NULLs, empty and very long texts, repeated rows, clashing columns and empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import exact_dedup, language_id, mixing, neighbours, packing, quality_crf, secret_scan, simhash_dedup, suffix_dedup, url_filter
@@ -120,11 +121,21 @@ def test_op9(spark):
     assert {r.action for r in url_filter.match(pages, none).collect()} == {"allow"}
     odd = spark.createDataFrame([(1, None, "block"), (2, "", "block"), (3, "b.c", "block"), (4, "b.c", "allow")], "rule_id int, pattern string, action string")
     one = spark.createDataFrame([(1, "http://a.b.c/")], "page_id long, url string")
+    for kind in ("int", "string", "struct<a:int>"):
+        typed = one.select((F.struct(F.lit(1).alias("a")) if "<" in kind else F.col("page_id").cast(kind)).alias("page_id"), "url")
+        got = url_filter.match(typed, odd)
+        assert got.dtypes[0] == ("page_id", kind) and got.first().rule_id == 3
+    long = spark.createDataFrame([(1, "b.c/" + "p" * 3_000_000, "block"), (2, "c", "allow")], "rule_id int, pattern string, action string")
+    far = spark.createDataFrame([(1, "http://a.b.c/"), (2, "http://b.c/" + "p" * 3_000_001)], "page_id long, url string")
+    assert sorted((r.page_id, r.rule_id) for r in url_filter.match(far, long).collect()) == [(1, 2), (2, 1)]
     assert [(r.rule_id, r.action) for r in url_filter.match(one, odd).collect()] == [(3, "block")]
 
 
 def test_op10(spark, docs):
     rows = mixing.sample(docs).collect()
-    assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9]  # two documents without a number
+    assert sorted((r.tokens, r.source or "") for r in rows if r.doc_id is None) == [(0, ""), (5, "src0")]
+    every = mixing.mix(docs, budget=1.0)
+    assert every.columns == docs.columns and every.count() == len(ROWS)
     assert mixing.sample(docs.limit(0)).count() == 0
     assert not any(r.selected for r in mixing.sample(docs, {"src1": 0}).collect())

@@ -551,6 +551,36 @@ def test_mixture_meets_its_targets(spark):
     assert abs(sum(r.selected for r in rows) - n) < 4
 
 
+def test_mixture_without_the_library(spark):
+    """Probabilities by bisection, and the totals of each source within a document of them."""
+    rng = random.Random(4)
+    docs = [(i if i % 5 else None, "w " * rng.randint(0, 60) + str(i), rng.choice("aaabc") if i % 7 else None) for i in range(3000)]
+    rows = mixing.sample(spark.createDataFrame(docs, "doc_id long, text string, source string"), budget=0.4).collect()
+    have = Counter()
+    for _, t, s in docs:
+        have[s] += len(t.split())
+    low, high = 0.0, float(sum(have.values()))
+    for _ in range(100):  # the level up to which each source gives
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level, h) for h in have.values()) < 0.4 * sum(have.values()) else (low, level)
+    share = {s: min(level, h) / h for s, h in have.items()}
+    assert len(rows) == 3000 and all(abs(r.probability - share[r.source]) < 1e-6 for r in rows)
+    for s in have:
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.tokens for r in own if r.selected) - share[s] * have[s]) <= 3 * 61
+        assert abs(sum(r.selected for r in own) - share[s] * len(own)) <= 3
+
+
+def test_flight_draws_each_document_with_its_probability():
+    pi, tokens = [0.2, 0.5, 0.9, 0.4, 0.5, 0.7, 0.3], [5, 1, 9, 4, 7, 2, 6]
+    times = Counter()
+    for seed in range(4000):
+        rng = random.Random(seed)
+        out = mixing.landing(mixing.flight(pi, tokens, rng), tokens, rng)
+        times.update(i for i, p in enumerate(out) if p == 1)
+    assert all(abs(times[i] / 4000 - p) < 0.03 for i, p in enumerate(pi))
+
+
 def test_allot_shares_out_the_excess():
     pi = mixing.allot({"a": 10, "b": 1000, "c": 0}, None, 505)
     assert pi["a"] == 1.0 and abs(pi["b"] - 0.495) < 1e-9 and pi["c"] == 1.0
@@ -571,7 +601,7 @@ def brute_mix(docs):
     p = {d: share[s] for d, (s, _) in units.items()}
 
     def fly(ids, source, shard, last):
-        ids = sorted(ids, key=lambda d: (p[d], d))
+        ids = sorted(ids, key=lambda d: (p[d], d))  # no document of the table is without a number
         rng = random.Random(f"{mixing.SEED}/{source(ids)}/{shard(ids)}/{last}")
         order = list(range(len(ids)))
         rng.shuffle(order)
@@ -615,6 +645,17 @@ def test_pipeline_by_brute_force(spark, sf):
     assert sorted(sorted(b) for b in made.values()) == sorted(sorted(b) for b in bins)
 
 
+def test_groups_of_one_hot_key(spark):
+    """Half of the rows have one text: counts by aggregates, and no row of a list of them."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'the same boilerplate text' ELSE concat('text number ', id * 7919, ' of ', id) END AS text", "'x' AS __len", "1 AS n")
+    same = exact_dedup.groups(docs).collect()
+    assert {(r.doc_id, r.keep_id, r.n_copies) for r in same} == {(i, 0, 2000) for i in range(0, 4000, 2)}
+    near = {r.doc_id: r.n_near for r in simhash_dedup.groups(docs.where("doc_id % 2 = 0")).collect()}
+    assert near == {i: 2000 for i in range(0, 4000, 2)}
+    plan = exact_dedup.groups(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_exact_dedup_by_brute_force(spark, sf):
     docs = common.read(spark, sf, "documents")
     first = {}
