@@ -51,8 +51,10 @@ def test_op1(spark, docs):
     rows = quality_crf.score(docs, quality_crf.fit(docs, labels)).collect()
     assert len(rows) == len(ROWS)
     none = {r.doc_id for r in rows if r.quality is None}
-    assert none == {None, 2, 3, 4, 9} or none == {None, 2, 3, 9}
-    assert all(not r.keep for r in rows if r.quality is None)
+    assert none == {None, 2, 3, 4, 9}
+    assert all(not r.keep and r.n_lines == 0 and not any(r.good_lines) for r in rows if r.quality is None)
+    assert next(r for r in rows if r.doc_id == 4).good_lines == [None, None]
+    assert next(r for r in rows if r.doc_id == 1).n_lines == 2
     empty = quality_crf.fit(docs, labels.limit(0))
     assert {r.quality for r in quality_crf.score(docs.limit(3), empty).collect() if r.quality is not None} == {0.5}
     assert quality_crf.score(docs.limit(0), empty).count() == 0

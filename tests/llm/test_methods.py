@@ -37,6 +37,47 @@ def test_crf_marginals_by_enumeration():
             assert np.allclose(got[a:b], good / total, atol=1e-9)
 
 
+def test_chains_in_pieces_equal_chains_as_a_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    crf = quality_crf.Crf(rng.normal(size=3 * quality_crf.K), rng.normal(size=(2, 2)), rng.normal(size=2))
+    first = np.array([0, 1, 1, 4, 11, 40, 41])
+    u = rng.normal(size=41)
+    whole = crf.chains(u, first)
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(quality_crf, "PIECE", piece)
+        assert all(np.allclose(x, y) for x, y in zip(crf.chains(u, first), whole))
+    assert abs(whole[1].sum() - (41 - 5)) < 1e-9 and abs(whole[2].sum() - 5) < 1e-9
+
+
+def test_line_features_by_definition():
+    texts = ["The Cat sat.\n\n42 %% %% ok\n", "", None, " \n\t", "é"]
+    f, weight, first = quality_crf.line_features(*common.text_bytes(pa.array(texts)))
+    lines = [x for t in texts for x in (t or "").split("\n")]
+    assert len(lines) == len(f) and first.tolist() == [0, 4, 5, 6, 8, 9]
+    for row, w, line in zip(f, weight, lines):
+        b = line.encode()
+        assert w == len(re.sub(rb"[ \t\n\r\f]", b"", b))
+        letters, ws = sum(c.isalpha() for c in line), line.split()
+        assert np.isclose(row[1], np.log1p(len(b)) / 8) and np.isclose(row[2], sum(c.isascii() and c.isupper() for c in line) / max(letters, 1))
+        assert np.isclose(row[3], sum(c.isdigit() for c in line) / max(len(b), 1)) and np.isclose(row[5], letters / max(len(b), 1))
+        assert row[8] == line[-1:].endswith((".", "?", "!", ":")) and np.isclose(row[13], np.log1p(len(ws)) / 6)
+        assert np.isclose(row[11], sum(x == y for x, y in zip(ws, ws[1:])) / max(len(ws), 1))
+
+
+def test_quality_of_mixed_texts(spark):
+    """Three good lines and then three bad ones, of labelled documents: each gets its own label."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.read(spark, sf, "documents"), common.read(spark, sf, "labels")
+    model = quality_crf.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where("length(text) > 1300").collect()
+    good, bad = ([re.sub(r"\s+", " ", r.text) for r in sorted(rows, key=lambda r: r.doc_id) if r.quality == q] for q in (1, 0))
+    made = [(i, "\n".join(([g[k : k + 400] for k in (0, 400, 800)] + [b[k : k + 400] for k in (0, 400, 800)])[:: 1 if i % 2 else -1])) for i, (g, b) in enumerate(zip(good, bad))]
+    got = quality_crf.score(spark.createDataFrame(made, "doc_id long, text string"), model).collect()
+    right = [sum(x == y for x, y in zip(r.good_lines, ([True] * 3 + [False] * 3)[:: 1 if r.doc_id % 2 else -1])) for r in got]
+    assert len(right) >= 5 and sum(right) / (6 * len(right)) > 0.9
+    assert all(abs(r.quality - 0.5) < 0.3 for r in got if sum(r.good_lines) == 3)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = common.read(spark, sf, "documents"), common.read(spark, sf, "labels")
