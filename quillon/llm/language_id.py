@@ -3,7 +3,7 @@
 A text is folded to lower-case words of letters; each character is predicted
 from up to ORDER - 1 characters before it within its word, whose start is
 marked by a blank.  For each language the model has modified counts (absolute
-discounting, continuation counts in the lower orders, raw counts for n-grams
+discounting with one discount an order, continuation counts in the lower orders, raw counts for n-grams
 at a word's start, as nothing precedes them).  All languages share one table:
 sorted 64-bit n-gram hashes with a row of final log-probabilities, one column a
 language, and another of contexts with their back-off weights.
@@ -20,7 +20,8 @@ and the others' deviation, so it rejects less.
 Defined results: texts without letters (NULL, empty, digits) get 'und' and are
 rejected; with fewer than MIN_DOCS labelled rows of all languages everything does; NULL doc_id is an ordinary
 value; repeated rows give repeated rows; ties go to the first language by
-name; extra columns pass through ``accepted``.
+name; extra columns pass through ``accepted``.  More than LANGUAGES names in
+the lang column are an error, as each has a model of its own.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ HELD_OUT = 100
 MIN_DOCS = 20
 SIGMAS = 6.0
 FEW = 5
+LANGUAGES = 1000
 _SPACE = 32
 _R = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 _LETTER: list[np.ndarray] = []
@@ -231,6 +233,9 @@ def fit(docs: DataFrame) -> Model:
     common.small_batches(spark)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
+    kinds = named.groupBy("lang").count().limit(LANGUAGES + 1).count()
+    if kinds > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in lang: map them to fewer")
     pick = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN + HELD_OUT).select("doc_id", "lang", "n").collect()
     size = Counter(r.lang for r in pick)
     cutoff = {x: min(TRAIN, max(1, size[x] * 2 // 3)) for x in size}
