@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
+from quillon.llm import common, exact_dedup, language_id, mixing, packing, simhash_dedup
 
 #: Every stage works on all that its predecessor kept; all but the last return the columns of ``documents``.
 STAGES = [
@@ -23,11 +22,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet in the shared folder and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages-")
-    out = f"{base}/pipeline-{uuid.uuid4().hex}"
+    """The stages over ``documents``, each written as Parquet in the shared folder and read again; a stage's input goes once its output is written."""
+    out = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
+        if k:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{k - 1}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
