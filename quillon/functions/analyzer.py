@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿšžčşğıǐĭḯĩȋμ$"
@@ -86,7 +88,7 @@ def normalise(text: Column, a: Analysis = DEFAULT) -> Column:
     for c in a.ignore_chars:
         x = F.replace(x, F.lit(c), F.lit(""))
     x = fold(x, a.outside_folds)
-    x = F.regexp_replace(x, f"[^{a.keep_class}]", " ")
+    x = F.regexp_replace(x, f"[^ {a.keep_class}]", " ")
     for c in a.blend_chars:
         for edge in (f" {c} ", f" {c}", f"{c} "):
             x = F.replace(x, F.lit(edge), F.lit(" "))
@@ -96,8 +98,36 @@ def normalise(text: Column, a: Analysis = DEFAULT) -> Column:
 
 
 def tokens(text: Column, a: Analysis = DEFAULT) -> Column:
-    """Array of the tokens that take a position, in order."""
-    return F.filter(F.split(normalise(text, a), " "), lambda t: ~t.isin(*a.forbidden))
+    """Array of the tokens that take a position, in order: those of ``normalise``, in fewer passes.
+
+    Blanks need no count here, so ignored characters, folds and all of ASCII
+    that is no part of a token are one translation, which is many times faster
+    than a class of a regular expression; that is left to texts with other
+    letters than the charset has.
+    """
+    if a.strip_tags:
+        x = normalise(text, a)
+    else:
+        x = F.lower(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")))
+        x = F.replace(x, F.lit("&#13;"), F.lit(" "))
+        keep = re.compile(f"[ {a.keep_class}]")
+        to = {c: " " for c in map(chr, range(128)) if not keep.match(c)}
+        to |= {c: p if keep.match(p) else " " for c, p in a.outside_folds.items()}
+        to = {c: p for c, p in to.items() if c not in a.ignore_chars}
+        # What has no counterpart is dropped.
+        x = F.translate(x, "".join([*to, *a.ignore_chars]), "".join(to.values()))
+        known = "".join(c for c in map(chr, range(128, 0x3000)) if keep.match(c))
+        rest = F.translate(x, known, "") if known else x
+        x = F.when(F.octet_length(x) == F.length(x), x).when(F.octet_length(rest) == F.length(rest), x).otherwise(F.regexp_replace(x, f"[^ {a.keep_class}]+", " "))
+        for c in a.blend_chars:
+            for edge in (f" {c} ", f" {c}", f"{c} "):
+                x = F.replace(x, F.lit(edge), F.lit(" "))
+        if a.separate_alnum:
+            x = F.regexp_replace(x, r"(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])", " ")
+    out = F.split(x, " ")
+    for t in a.forbidden:
+        out = F.array_remove(out, t)
+    return out
 
 
 def blend_parts(token: Column, a: Analysis = DEFAULT) -> Column:
@@ -127,28 +157,39 @@ def expand_synonyms(lists: tuple[str, ...]) -> dict[str, list[str]]:
     return {w: m for w, m in out.items() if m}
 
 
-def token_hits(text: Column, a: Analysis = DEFAULT) -> Column:
-    """Array of (pos, token): each token, parts of blended words from its position on, synonyms at it."""
-    table = expand_synonyms(a.synonyms)
-    known = F.create_map(*[x for w, m in table.items() for x in (F.lit(w), F.array(*map(F.lit, m)))]) if table else None
+def partitions(spark: SparkSession) -> int:
+    """Partitions for work that bytes say little of: those of a shuffle, a core each at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    def at(pos: Column, token: Column) -> Column:
-        return F.struct(pos.cast("int").alias("pos"), token.alias("token"))
 
-    def hits(t: Column, i: Column) -> Column:
-        own = F.concat(F.array(at(i + 1, t)), F.transform(blend_parts(t, a), lambda p, k: at(i + 1 + k, p)))
-        if known is not None:
-            own = F.concat(own, F.transform(F.coalesce(F.element_at(known, t), F.array().cast("array<string>")), lambda s: at(i + 1, s)))
-        return own
+def occurrences(docs: DataFrame, doc_id: str, fields: list[str], a: Analysis = DEFAULT) -> DataFrame:
+    """doc_id, field_id, pos, token for every hit of every field: each token, parts of blended words from its position on, synonyms at it.
 
-    return F.flatten(F.transform(tokens(text, a), hits))
+    Positions count from 1 in each field.  Rows are spread by doc_id before the
+    texts are taken apart: a table may be a single row group, and grouping by
+    document then needs no further shuffle of what is many times the text.
+    """
+    table = expand_synonyms(a.synonyms)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).repartition(partitions(docs.sparkSession), "doc_id")
+    if len(fields) > 1:
+        rows = rows.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("field_id"), F.col(f"f{i}").alias("f0")) for i in range(len(fields))])).alias("x")).select("doc_id", "x.*")
+    else:
+        rows = rows.withColumn("field_id", F.lit(0))
+    flat = rows.select("doc_id", "field_id", F.posexplode(tokens(F.col("f0"), a)).alias("i", "token"))
+    # Tokens are rows now: the few with blend characters or synonyms are taken apart, the rest pass in compiled code.
+    t = F.col("token")
 
+    def at(pos: Column, token: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), token.alias("token"))
 
-def occurrences(docs: DataFrame, doc_id: str, fields: list[str], a: Analysis = DEFAULT) -> DataFrame:
-    """doc_id, field_id, pos, token for every hit of every field; positions count from 1 in each field."""
-    per_field = F.array(*[F.struct(F.lit(i).alias("field_id"), token_hits(F.col(f).cast("string"), a).alias("hits")) for i, f in enumerate(fields)])
-    flat = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode(per_field).alias("x")).select("doc_id", "x.field_id", F.explode("x.hits").alias("h"))
-    return flat.select("doc_id", "field_id", "h.pos", "h.token")
+    own = F.array(at(F.col("i") + 1, t))
+    parts = F.transform(blend_parts(t, a), lambda p, k: at(F.col("i") + 1 + k, p))
+    blended = reduce(or_, [t.contains(c) for c in a.blend_chars], F.lit(False))
+    hits = F.when(blended, F.concat(own, parts)).otherwise(own) if a.blend_chars else own
+    if table:
+        known = F.create_map(*[x for w, m in table.items() for x in (F.lit(w), F.array(*map(F.lit, m)))])
+        hits = F.when(t.isin(*table), F.concat(hits, F.transform(F.element_at(known, t), lambda s: at(F.col("i") + 1, s)))).otherwise(hits)
+    return flat.select("doc_id", "field_id", F.explode(hits).alias("h")).select("doc_id", "field_id", "h.pos", "h.token")
 
 
 def trim_title(title: Column, endings: list[str]) -> Column:

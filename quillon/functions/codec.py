@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATOR = 0x80
+#: Ids of a block of a posting list: what a row holds at most.
+BLOCK = 1 << 16
 
 
 def required_bits(n: int) -> int:

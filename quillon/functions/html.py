@@ -77,6 +77,10 @@ def strip_tags(source: Column) -> Column:
     return F.regexp_replace(spaced, "<[^>]*>", "")
 
 
+#: Attribute of any element that names the category of its page.
+CATEGORY = "data-category"
+
+
 class _Page(HTMLParser):
     """Title, text, description, language, category and links of a page."""
 
@@ -105,8 +109,8 @@ class _Page(HTMLParser):
             self.links.append((a["href"], a.get("rel") == "nofollow"))
         elif tag in ("iframe", "frame") and a.get("src"):
             self.links.append((a["src"], False))
-        if a.get("id") == "pmb-category" and a.get("data-pmb-category"):
-            self.category = a["data-pmb-category"]
+        if a.get(CATEGORY):
+            self.category = a[CATEGORY]
         self.body.append(" ")
 
     def handle_endtag(self, tag):

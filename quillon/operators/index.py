@@ -2,8 +2,10 @@
 
 Postings are kept in long form, one row for each token and document with the
 packed positions as an array, so no row grows with the collection; the
-dictionary has one row a token.  Written, postings are range-partitioned and
-sorted by token: a query's ``token IN (...)`` prunes files and row groups.
+dictionary has one row a token.  Postings are partitioned by document, as they
+come from the texts without a shuffle of their own, and sorted by token in each
+partition: a query's ``token IN (...)`` prunes row groups, all files share the
+work of a frequent token, and a document's hits are in one of them.
 """
 
 from __future__ import annotations
@@ -15,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linguistics
-from ..functions.analyzer import Analysis, fold, occurrences
-
-#: Characters of a token from which prefixes are taken.
-PREFIX_SOURCE = 20
+from ..functions.analyzer import Analysis, fold, occurrences, partitions
 
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """How an index is built: fields and their weights, attributes, text analysis, prefixes."""
+    """How an index is built: fields and their weights, attributes, text analysis, prefixes.
+
+    prefix_source: characters of a token from which prefixes are taken; 0 is all.
+    """
 
     fields: tuple[str, ...]
     doc_id: str = "doc_id"
@@ -32,6 +34,7 @@ class IndexSettings:
     analysis: Analysis = Analysis()
     prefix_mode: int = 1
     prefix_length: int = 3
+    prefix_source: int = 20
     sentiment: int = 0
     lang: str | None = None
 
@@ -62,14 +65,14 @@ def with_metaphone(words: DataFrame) -> DataFrame:
     return words.withColumn("metaphone", linguistics.metaphone_udf("token"))
 
 
-def prefixes(words: DataFrame, mode: int = 1, shortest: int = 3, analysis: Analysis = Analysis()) -> DataFrame:
-    """prefix, token, cutlen: parts of each token of at least ``shortest`` characters.
+def prefixes(words: DataFrame, mode: int = 1, shortest: int = 3, analysis: Analysis = Analysis(), source: int = 20) -> DataFrame:
+    """prefix, token, cutlen: parts of each token (``words`` has it once) of at least ``shortest`` characters.
 
     mode 0 none, 1 beginnings, 2 and endings, 3 all inner parts.  A token with
     accented letters of the charset also has its folded form, with cutlen 0.
     """
-    t = words.select("token").distinct()
-    capped = F.least(F.length("token"), F.lit(PREFIX_SOURCE))
+    t = words.select("token")
+    capped = F.least(F.length("token"), F.lit(source)) if source else F.length("token")
     base = t.withColumn("len", capped)
     parts = []
     if mode:
@@ -87,7 +90,8 @@ def prefixes(words: DataFrame, mode: int = 1, shortest: int = 3, analysis: Analy
         parts.append(t.where(folded != F.col("token")).select(folded.alias("prefix"), "token", F.lit(0).alias("cutlen")))
     if not parts:
         return t.select(F.lit("").alias("prefix"), "token", F.lit(0).alias("cutlen")).where("false")
-    return reduce(DataFrame.unionByName, parts).distinct()
+    out = reduce(DataFrame.unionByName, parts)
+    return out.distinct() if mode > 1 else out  # beginnings of one token differ
 
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -142,7 +146,7 @@ def tables(docs: DataFrame, s: IndexSettings) -> dict[str, DataFrame]:
         word_scores = scored.select("doc_id", F.explode("x.words").alias("token", "senti"))
     post = postings(occ, len(s.fields), word_scores)
     words = dictionary(post)
-    return {"postings": post, "dictionary": words, "prefixes": prefixes(words, s.prefix_mode, s.prefix_length, s.analysis), "docinfo": docinfo(docs, s, doc_scores)}
+    return {"postings": post, "dictionary": words, "prefixes": prefixes(words, s.prefix_mode, s.prefix_length, s.analysis, s.prefix_source), "docinfo": docinfo(docs, s, doc_scores)}
 
 
 def write(docs: DataFrame, s: IndexSettings, path: str) -> None:
@@ -153,27 +157,34 @@ def write(docs: DataFrame, s: IndexSettings, path: str) -> None:
 
 def write_tables(spark, s: IndexSettings, post: DataFrame, info: DataFrame, path: str) -> None:
     """Writes postings and docinfo under ``path``, and dictionary and prefixes from them."""
-    post.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    words = with_metaphone(dictionary(spark.read.parquet(f"{path}/postings")))
-    words.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
-    write_prefixes(spark, s, path)
+    post.sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    # Codes are computed a token at a time in Python: on all cores, however few bytes the dictionary has.
+    words = dictionary(spark.read.parquet(f"{path}/postings")).repartition(partitions(spark), "token")
+    with_metaphone(words).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
+    write_prefixes(spark, s, path, f"{path}/prefixes")
     info.write.mode("overwrite").parquet(f"{path}/docinfo")
 
 
-def write_prefixes(spark, s: IndexSettings, path: str) -> None:
-    """Writes the prefixes of the dictionary under ``path``."""
+def write_prefixes(spark, s: IndexSettings, path: str, target: str) -> None:
+    """Writes the prefixes of the dictionary under ``path`` to ``target``."""
     words = spark.read.parquet(f"{path}/dictionary")
-    prefixes(words, s.prefix_mode, s.prefix_length, s.analysis).repartitionByRange("prefix").sortWithinPartitions("prefix", "cutlen", "token").write.mode("overwrite").parquet(f"{path}/prefixes")
+    entries = prefixes(words, s.prefix_mode, s.prefix_length, s.analysis, s.prefix_source)
+    entries.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix", "cutlen", "token").write.mode("overwrite").parquet(target)
 
 
-def read(spark, s: IndexSettings, *paths: str) -> Index:
-    """The index written under a path; several paths are a main index and its deltas, read together."""
-    load = {k: reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/{k}") for p in paths]) for k in ("postings", "dictionary", "prefixes", "docinfo")}
+def read(spark, s: IndexSettings, *paths: str, prefixes: dict[str, str] | None = None, documents: int | None = None) -> Index:
+    """The index written under a path; several paths are a main index and its deltas, read together.
+
+    ``prefixes`` names other folders for the prefixes of a path, ``documents``
+    the number of documents where the caller knows it.
+    """
+    where = {k: [(prefixes or {}).get(p, f"{p}/{k}") if k == "prefixes" else f"{p}/{k}" for p in paths] for k in ("postings", "dictionary", "prefixes", "docinfo")}
+    load = {k: spark.read.parquet(*ps) for k, ps in where.items()}
     words, pre = load["dictionary"], load["prefixes"]
     if len(paths) > 1:
         words = words.groupBy("token").agg(F.sum("doc_matches").alias("doc_matches"), F.max("max_doc_id").alias("max_doc_id"), F.sum("n_hits").alias("n_hits"), F.first("metaphone").alias("metaphone"))
         pre = pre.distinct()
-    return Index(s, load["postings"], words, pre, load["docinfo"], load["docinfo"].count())
+    return Index(s, load["postings"], words, pre, load["docinfo"], load["docinfo"].count() if documents is None else documents)
 
 
 def in_memory(docs: DataFrame, s: IndexSettings) -> Index:

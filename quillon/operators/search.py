@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import fold
@@ -225,9 +225,11 @@ def group(hits: DataFrame, o: SearchOptions) -> DataFrame:
     if by == "@count":
         by = "@score"
     a = _attribute(by)
-    first = Window.partitionBy("__key").orderBy(a.asc() if up else a.desc(), "doc_id")
-    out = hits.withColumn("__key", key).withColumn("count", F.count("*").over(Window.partitionBy("__key"))).withColumn("__n", F.row_number().over(first))
-    return out.where("__n = 1").drop("__n").withColumn(f"attr_{o.group_by}", F.col("__key")).drop("__key")
+    # As one row is taken from each group, aggregates combine before the shuffle, whatever a group's size.
+    first = F.struct(a.isNotNull(), a, "doc_id") if up else F.struct(a.isNull(), -a, "doc_id")
+    kept = [c for c in hits.columns if c != f"attr_{o.group_by}"]
+    out = hits.groupBy(key.alias(f"attr_{o.group_by}")).agg(F.min_by(F.struct(*kept), first).alias("best"), F.count("*").alias("count"))
+    return out.select("best.*", f"attr_{o.group_by}", "count")
 
 
 def order(hits: DataFrame, o: SearchOptions) -> DataFrame:

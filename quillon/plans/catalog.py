@@ -9,6 +9,7 @@ All access is through Hadoop's file systems, so the folder may be on any.
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
@@ -27,6 +28,19 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables that all machines see: the session's ``spark.checkpoint.dir``; one of our own only where it runs on this machine alone."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tables-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a file or folder."""
     p, fs = _fs(spark, path)
@@ -55,24 +69,32 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a file beside and renames it over the old one in a step, so a reader finds either."""
+    jvm = spark.sparkContext._jvm
     p, fs = _fs(spark, path)
     part, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(part, p)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(p), options)
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """What an index consists of: the main version, its deltas, hidden documents, statistics."""
+    """What an index consists of: the main version, its deltas, hidden documents, statistics.
+
+    prefixes: folders with newer prefixes of a version or delta; stale: folders
+    of the manifest before, kept for those that still read them.
+    """
 
     name: str
     main: str | None = None
     deltas: tuple[str, ...] = ()
     disabled: str | None = None
+    prefixes: dict = field(default_factory=dict)
+    stale: tuple[str, ...] = ()
     documents: int = 0
     min_id: int | None = None
     max_id: int | None = None
@@ -102,10 +124,19 @@ class Catalog:
         return f"{self.path}/{name}/manifest.json"
 
     def _save(self, m: Manifest) -> Manifest:
-        m = replace(m, updated=int(time.time()))
+        old = self.manifest(m.name) if exists(self.spark, self._manifest(m.name)) else m
+        m = replace(m, updated=int(time.time()), prefixes={k: v for k, v in m.prefixes.items() if k in (m.main, *m.deltas)})
+        m = replace(m, stale=tuple(sorted(self._used(old) - self._used(m))))
         _write_text(self.spark, self._manifest(m.name), json.dumps(asdict(m)))
+        for p in set(old.stale) - self._used(m):  # two manifests ago: queries of the last one may still run
+            remove(self.spark, p)
         return m
 
+    @staticmethod
+    def _used(m: Manifest) -> set[str]:
+        """Folders that a manifest names."""
+        return {p for p in (m.main, m.disabled, *m.deltas, *m.prefixes.values()) if p}
+
     def _version(self, name: str, kind: str) -> str:
         return f"{self.path}/{name}/{kind}-{uuid.uuid4().hex}"
 
@@ -119,7 +150,7 @@ class Catalog:
         if not exists(self.spark, self._manifest(name)):
             raise CatalogError(f"no index {name!r}")
         d = json.loads(_read_text(self.spark, self._manifest(name)))
-        return Manifest(**{**d, "deltas": tuple(d["deltas"])})
+        return Manifest(**{**d, "deltas": tuple(d["deltas"]), "stale": tuple(d.get("stale", ()))})
 
     def settings(self, name: str) -> ix.IndexSettings:
         """How an index is built."""
@@ -139,9 +170,7 @@ class Catalog:
         s, path = self.settings(name), self._version(name, "main")
         ix.write(docs, s, path)
         r = ix.statistics(docs, s.doc_id).first()
-        new = self._save(replace(old, main=path, deltas=(), documents=r.documents, min_id=r.min_id, max_id=r.max_id, delta_documents=0, max_delta_id=None))
-        self._drop(old, new)
-        return new
+        return self._save(replace(old, main=path, deltas=(), documents=r.documents, min_id=r.min_id, max_id=r.max_id, delta_documents=0, max_delta_id=None))
 
     def add(self, name: str, docs: DataFrame) -> Manifest:
         """Indexes the rows that are newer than all before, as a delta; nothing new changes nothing."""
@@ -164,16 +193,15 @@ class Catalog:
         s, path = self.settings(name), self._version(name, "main")
         both = ix.read(self.spark, s, *parts)
         ix.write_tables(self.spark, s, both.postings, both.docinfo, path)
-        new = self._save(replace(old, main=path, deltas=(), documents=old.documents + old.delta_documents, max_id=max(i for i in (old.max_id, old.max_delta_id) if i is not None), delta_documents=0, max_delta_id=None))
-        self._drop(old, new)
-        return new
+        return self._save(replace(old, main=path, deltas=(), documents=old.documents + old.delta_documents, max_id=max(i for i in (old.max_id, old.max_delta_id) if i is not None), delta_documents=0, max_delta_id=None))
 
     def rebuild_prefixes(self, name: str) -> Manifest:
-        """The prefixes of main version and deltas anew, from their dictionaries."""
+        """The prefixes of main version and deltas anew, from their dictionaries, in new folders."""
         m, s = self.manifest(name), self.settings(name)
-        for p in [x for x in (m.main, *m.deltas) if x]:
-            ix.write_prefixes(self.spark, s, p)
-        return self._save(m)
+        new = {p: self._version(name, "prefixes") for p in (m.main, *m.deltas) if p}
+        for p, target in new.items():
+            ix.write_prefixes(self.spark, s, p, target)
+        return self._save(replace(m, prefixes=new))
 
     def disable(self, name: str, ids: DataFrame) -> Manifest:
         """Hides documents (doc_id) from searches."""
@@ -183,23 +211,17 @@ class Catalog:
             ids = ids.unionByName(self.spark.read.parquet(old.disabled))
         path = self._version(name, "disabled")
         ids.distinct().write.parquet(path)
-        new = self._save(replace(old, disabled=path))
-        self._drop(old, new)
-        return new
+        return self._save(replace(old, disabled=path))
 
     def enable_all(self, name: str) -> Manifest:
         """Shows all documents again."""
         old = self.manifest(name)
-        new = self._save(replace(old, disabled=None))
-        self._drop(old, new)
-        return new
+        return self._save(replace(old, disabled=None))
 
     def purge(self, name: str) -> Manifest:
         """The index without its documents."""
         old = self.manifest(name)
-        new = self._save(Manifest(name, settings=old.settings))
-        self._drop(old, new)
-        return new
+        return self._save(Manifest(name, settings=old.settings))
 
     def delete(self, name: str) -> None:
         """Removes an index."""
@@ -212,11 +234,5 @@ class Catalog:
         parts = [p for p in (m.main, *m.deltas) if p]
         if not parts:
             raise CatalogError(f"index {name!r} is empty")
-        out = ix.read(self.spark, self.settings(name), *parts)
+        out = ix.read(self.spark, self.settings(name), *parts, prefixes=m.prefixes, documents=m.documents + m.delta_documents)
         return out.with_disabled(self.spark.read.parquet(m.disabled)) if m.disabled else out
-
-    def _drop(self, old: Manifest, new: Manifest) -> None:
-        used = {new.main, new.disabled, *new.deltas}
-        for p in (old.main, old.disabled, *old.deltas):
-            if p and p not in used:
-                remove(self.spark, p)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Name of the column that tags a row's language: 1 English, 2 Finnish.
-LANGUAGE = "pmb_language"
+#: Name of the column that tags a row's language (1 English, 2 Finnish), unless the caller names another.
+LANGUAGE = "language_tag"
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -28,12 +28,12 @@ class Source:
     lang: str | None = None
 
 
-def split(rows: DataFrame, attributes: tuple[str, ...] = ()) -> Source:
+def split(rows: DataFrame, attributes: tuple[str, ...] = (), language: str = LANGUAGE) -> Source:
     """The parts of a query's columns; unknown attributes raise SourceError."""
     cols = rows.columns
     if unknown := [a for a in attributes if a not in cols[1:]]:
         raise SourceError(f"attributes not in the query: {unknown}")
-    lang = LANGUAGE if LANGUAGE in cols else None
+    lang = language if language in cols else None
     fields = tuple(c for c in cols[1:] if c not in attributes and c != lang)
     if not fields:
         raise SourceError("the query has no text field")
@@ -68,6 +68,12 @@ def in_range(rows: DataFrame, doc_id: str, first: int, last: int) -> DataFrame:
     return rows.where(F.col(doc_id).between(first, last))
 
 
+def in_ranges(rows: DataFrame, doc_id: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows with the number of the range of ids that they are in; ranges are of one size, as ``id_ranges`` gives them."""
+    (low, last), high = ranges[0], ranges[-1][1]
+    return in_range(rows, doc_id, low, high).withColumn("range_no", F.floor((F.col(doc_id) - low) / (last - low + 1)))
+
+
 def share(rows: DataFrame, doc_id: str, parts: int, part: int, least: int | None = None) -> DataFrame:
     """One of ``parts`` parts of the rows by id modulo, from id ``least`` on."""
     out = rows.where(F.pmod(F.col(doc_id), F.lit(parts)) == part)
@@ -104,7 +110,11 @@ def original_rows(hits: DataFrame, source: Source) -> DataFrame:
     return hits.join(source.rows.withColumnRenamed(source.doc_id, "doc_id"), "doc_id")
 
 
+def log_queries(rows: DataFrame, path: str) -> None:
+    """Appends queries (query, results, searchmode, querytime, ip) to the log table, with the time."""
+    rows.withColumn("timestamp", F.unix_timestamp()).write.mode("append").parquet(path)
+
+
 def log_query(spark: SparkSession, path: str, query: str, results: int, mode: int, milliseconds: int, ip: str = "") -> None:
-    """Appends a query to the log table."""
-    row = spark.createDataFrame([(query, results, mode, milliseconds, ip)], "query string, results long, searchmode int, querytime long, ip string")
-    row.withColumn("timestamp", F.unix_timestamp()).coalesce(1).write.mode("append").parquet(path)
+    """Appends one query to the log table."""
+    log_queries(spark.createDataFrame([(query, results, mode, milliseconds, ip)], "query string, results long, searchmode int, querytime long, ip string").coalesce(1), path)

@@ -7,12 +7,11 @@ cut to the shared checkpoint folder so that the plan does not grow.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..plans.catalog import shared_folder
 from .tables import Source
 
 
@@ -36,9 +35,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawl-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

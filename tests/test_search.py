@@ -9,6 +9,7 @@ from quillon.operators.search import search
 from quillon.plans.catalog import Catalog, CatalogError
 from quillon.plans.query import Match, QueryError, Rank, SearchOptions
 from quillon.sources import tables, web
+from quillon.streaming import ingest
 
 DOCS = [(1, "red fox runs", "alpha", 1), (2, "fox red", "beta", 2), (3, "blue bird", "red fox", None), (4, "the wi-fi s.t.a.r äiti", "", 2), (5, None, "gamma red", 0), (6, "red a fox", "red", 1)]
 
@@ -112,3 +113,57 @@ def test_crawl(spark):
     seeds = spark.createDataFrame([("a#top",)], "url string")
     assert {(r.url, r.depth) for r in web.crawl(edges, seeds).collect()} == {("a", 0), ("b", 1), ("c", 1)}
     assert web.crawl(edges, seeds.where("false")).count() == 0
+
+
+def test_prefixes_stay_whole_when_a_rebuild_fails(spark, tmp_path, monkeypatch):
+    c = Catalog(spark, str(tmp_path / "cat"))
+    c.create("a", ix.IndexSettings(fields=("body",)))
+    docs = spark.createDataFrame(DOCS, "doc_id long, body string, title string, kind int")
+    c.rebuild("a", docs.where("doc_id < 4"))
+    c.add("a", docs)
+    reader = c.load("a")
+    before = sorted(map(tuple, reader.prefixes.collect()))
+    write, calls = ix.write_prefixes, []
+
+    def fail(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        write(*args)
+
+    monkeypatch.setattr(ix, "write_prefixes", fail)
+    with pytest.raises(RuntimeError):
+        c.rebuild_prefixes("a")
+    assert sorted(map(tuple, c.load("a").prefixes.collect())) == before
+    monkeypatch.setattr(ix, "write_prefixes", write)
+    c.rebuild_prefixes("a")
+    assert sorted(map(tuple, c.load("a").prefixes.collect())) == before
+    c.merge("a")
+    assert sorted(map(tuple, reader.prefixes.collect())) == before  # the last manifest's folders stay for its readers
+    assert sorted(map(tuple, c.load("a").prefixes.collect())) == before
+
+
+def test_stream_documents_that_come_again(spark, tmp_path):
+    s = ix.IndexSettings(fields=("body",))
+    for n, rows in enumerate([[(1, "red fox"), (2, "blue fox")], [(2, "green bird"), (3, "red bird")], [(1, "red red")]]):
+        ix.write(spark.createDataFrame(rows, "doc_id long, body string"), s, f"{tmp_path}/batch={n:010d}")
+
+    def words(i):
+        return {r.token: (r.doc_matches, r.n_hits) for r in i.dictionary.collect()}
+
+    want = {"red": (2, 3), "green": (1, 1), "bird": (2, 2)}
+    i = ingest.read(spark, s, str(tmp_path))
+    assert words(i) == want and i.documents == 3 and ids(search(i, "red*")) == [1, 3]
+    ingest.compact(spark, s, str(tmp_path))
+    ix.write(spark.createDataFrame([(3, "blue")], "doc_id long, body string"), s, f"{tmp_path}/batch={3:010d}")
+    i = ingest.read(spark, s, str(tmp_path))
+    assert words(i) == {"red": (1, 2), "green": (1, 1), "bird": (1, 1), "blue": (1, 1)} and i.documents == 3
+    assert words(ingest.read(spark, s, ingest.compact(spark, s, str(tmp_path)).rsplit("/", 1)[0])) == words(i)
+
+
+def test_tokens_equal_the_normalised_text(spark):
+    texts = ["Ünïted--&&x -a- .b. c&d&#13;e\r\nf\tg'h", "naïve $5 #tag ÄÖÅ дом 中文 a_b — “q”", "", None, "ﬁ \x00 \x7f ß İ"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    for a in (analyzer.DEFAULT, analyzer.Analysis(charset="0-9a-zа-я", dialect=False), analyzer.Analysis(blend_chars=(), separate_alnum=True)):
+        rows = d.select(analyzer.tokens(d.t, a).alias("x"), analyzer.normalise(d.t, a).alias("y")).collect()
+        assert all(r.x == [w for w in r.y.split(" ") if w not in a.forbidden] for r in rows)
