@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of ids that may be broadcast (about 16 bytes each); above it a join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: White space of the word definition, the same in Java, RE2 and numpy.
 WORD_RE = r"[^ \t\n\r\f]+"
@@ -87,7 +87,7 @@ def hash_sample(df: DataFrame, size: int, *key: str, n: int | None = None) -> Da
     return df.orderBy(h, *key).limit(size)
 
 
-def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bounds the bytes of an Arrow batch, so that long texts fit a Python worker.
 
     Batches are made when a plan runs, so the setting stays in the session; it
