@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import index
-from ..plans.catalog import exists, folders, remove
+from ..plans.catalog import exists, folders, is_folder, remove
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """The stream of a Parquet table, be it a folder of files or a file of its own."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a stream takes one file by a pattern only
 
 
 def ingest(stream: DataFrame, settings: index.IndexSettings, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

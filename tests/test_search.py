@@ -167,3 +167,15 @@ def test_tokens_equal_the_normalised_text(spark):
     for a in (analyzer.DEFAULT, analyzer.Analysis(charset="0-9a-zа-я", dialect=False), analyzer.Analysis(blend_chars=(), separate_alnum=True)):
         rows = d.select(analyzer.tokens(d.t, a).alias("x"), analyzer.normalise(d.t, a).alias("y")).collect()
         assert all(r.x == [w for w in r.y.split(" ") if w not in a.forbidden] for r in rows)
+
+
+def test_stream_of_a_table_in_one_file_or_several(spark, tmp_path):
+    s = ix.IndexSettings(fields=("body",))
+    rows = spark.createDataFrame([(1, "red fox"), (2, "blue fox")], "doc_id long, body string")
+    rows.repartition(2).write.parquet(f"{tmp_path}/many.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    for name in ("many", "one"):
+        ingest.ingest(ingest.table(spark, f"{tmp_path}/{name}.parquet"), s, f"{tmp_path}/index-{name}", f"{tmp_path}/progress-{name}").awaitTermination()
+        words = ingest.read(spark, s, f"{tmp_path}/index-{name}").dictionary.collect()
+        assert {r.token: r.doc_matches for r in words} == {"red": 1, "fox": 2, "blue": 1}
