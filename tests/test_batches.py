@@ -1,9 +1,11 @@
 """Postings made in Arrow batches against those of the plain plan."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillon.functions import analyzer, batches
+from quillon.functions import analyzer, batches, codec, html, sentiment
 from quillon.operators import index as ix
 
 TEXTS = ["S.T.A.R wi-fi it's a - b at&t 3.14 x.y-z", None, "", "the cat and the dog-cat", "a.b.c.d a--b .x. _-_ ä-ö б-в ½-3", "wi-fi wi fi " * 3, "&&& -.- ... #a-b $5.0"]
@@ -43,3 +45,23 @@ def test_partitions_grow_with_the_tables(spark, tmp_path, monkeypatch):
     assert analyzer.partitions(spark, df) == least
     monkeypatch.setattr(analyzer, "PARTITION_BYTES", 1 << 10)
     assert analyzer.partitions(spark, df) > least
+
+
+def test_prefixes_differ_without_a_shuffle(spark):
+    words = ["aaaaaaa", "abcabcabc", "abc", "ab", "ääkköset", "x" * 25, "abcdefghij" * 3]
+    df = spark.createDataFrame([(w,) for w in words], "token string").coalesce(1)
+    for mode in (1, 2, 3):
+        want = set()
+        for w in words:
+            n = min(len(w), 20)
+            for c in range(1, n - 2):
+                if mode < 3:
+                    want.add((w[: n - c], w, c))
+                if mode == 2:
+                    want.add((w[c:], w, c))
+                if mode == 3:
+                    want |= {(w[f : f + n - c], w, c) for f in range(c + 1)}
+        got = ix.prefixes(df, mode)
+        rows = [tuple(r) for r in got.where("cutlen > 0").collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
