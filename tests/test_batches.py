@@ -65,3 +65,25 @@ def test_prefixes_differ_without_a_shuffle(spark):
         rows = [tuple(r) for r in got.where("cutlen > 0").collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+
+
+SENTI = [(1, "A good day. It was the best of times, a waste of time!", "en"), (2, "well. done and dusted dr. e.g. bad :( ugly", "en"), (3, "huono päivä :) ihana", "fi"), (4, "nothing here to see at all", "en"), (5, None, "en"), (6, "good bad", "de"), (7, "well-done; well:done it", "en")]
+
+
+def test_sentiment_with_and_without_a_first_look(monkeypatch):
+    for _, text, lang in SENTI:
+        if text:
+            en = sentiment.lexicons()["fi" if lang == "fi" else "en"]
+            got = sentiment.score_document(text, en)
+            monkeypatch.setattr(sentiment, "FEW_ENTRIES", 0)
+            assert got == sentiment.score_document(text, sentiment.lexicons()["fi" if lang == "fi" else "en"])
+            monkeypatch.undo()
+
+
+def test_scored_postings_equal_a_join(spark):
+    docs = spark.createDataFrame(SENTI, "doc_id long, t string, lang string")
+    words = docs.select("doc_id", F.explode(sentiment.document_sentiment(F.col("t"), F.col("lang"), 1001)["words"]).alias("token", "senti"))
+    want = ix.postings(analyzer.occurrences(docs, "doc_id", ["t"]), 1, words)
+    got = ix.tables(docs, ix.IndexSettings(fields=("t",), sentiment=1001, lang="lang"))["postings"]
+    assert sorted((r.token, r.doc_id, r.hits, r.senti) for r in got.collect()) == sorted((r.token, r.doc_id, r.hits, r.senti) for r in want.collect())
+    assert any(r.senti for r in got.collect()) and "Join" not in got._jdf.queryExecution().executedPlan().toString()
