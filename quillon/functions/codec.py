@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,22 +118,88 @@ def vb_encode_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: vb_encode([int(v) for v in x]), na_action="ignore")
 
 
-@F.pandas_udf(T.BinaryType())
-def delta_vb_encode_udf(s: pd.Series) -> pd.Series:
-    """delta_vb_encode of each array."""
-    return s.map(lambda x: delta_vb_encode([int(v) for v in x]), na_action="ignore")
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def vb_delta_decode_udf(s: pd.Series) -> pd.Series:
-    """vb_delta_decode of each value."""
-    return s.map(vb_delta_decode, na_action="ignore")
-
-
-@F.pandas_udf(T.LongType())
-def vb_delta_max_udf(s: pd.Series) -> pd.Series:
-    """vb_delta_max of each value."""
-    return s.map(vb_delta_max, na_action="ignore")
+def _rows(n: np.ndarray) -> np.ndarray:
+    """Starts of rows with so many items, and the end."""
+    return np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
+def delta_vb_encode_arrow(lists: pa.Array) -> pa.Array:
+    """delta_vb_encode of each list, all at once."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat = lists.flatten()
+    x = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count or (len(x) and max(x.max(), -x.min()) >= 1 << 61):
+        return pa.array([None if v is None else delta_vb_encode(v) for v in lists.to_pylist()], pa.binary())
+    at = _rows(size)
+    d = np.diff(x, prepend=0) + 1
+    first = at[:-1][size > 0]
+    d[first] = x[first]
+    n = np.ones(len(d), np.int64)
+    for k in range(1, 9):
+        n += d >= 1 << 7 * k
+    to = _rows(n)
+    out = np.zeros(to[-1], np.uint8)
+    for k in range(int(n.max(initial=0))):
+        here = np.flatnonzero(n > k)
+        out[to[here] + k] = (d[here] >> 7 * k) & 127
+    out[to[1:] - 1] |= 128
+    data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to[at].astype(np.int32)), pa.py_buffer(out)])
+    bad = np.zeros(len(size), bool)
+    bad[np.repeat(np.arange(len(size)), size)[d < 0]] = True
+    bad |= lists.is_null().to_numpy(zero_copy_only=False)
+    return pc.if_else(pa.array(bad), pa.scalar(None, pa.binary()), data) if bad.any() else data
+
+
+def _decoded(data: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """The numbers of vb_delta_decode of all values, and how many each has; None if a value ends within a number or is too great."""
+    size = pc.fill_null(pc.binary_length(data), 0).to_numpy().astype(np.int64)
+    b = np.frombuffer(b"".join(x for x in data.to_pylist() if x), np.uint8)
+    at = _rows(size)
+    end = b > 127
+    if not end[at[1:][size > 0] - 1].all():
+        return None
+    last = np.flatnonzero(end)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    width = last - first + 1
+    if len(last) and width.max() > 9:
+        return None
+    shift = (np.arange(len(b)) - np.repeat(first, width)) * 7
+    d = np.add.reduceat((b & 127).astype(np.int64) << shift, first) - 1 if len(first) else np.zeros(0, np.int64)
+    to = np.concatenate([[0], np.cumsum(end)])[at]
+    n = np.diff(to)
+    total = np.cumsum(d)
+    return total + 1 - np.repeat(np.concatenate([[0], total])[to[:-1]], n), n
+
+
+def vb_delta_decode_arrow(data: pa.Array) -> pa.Array:
+    """vb_delta_decode of each value, all at once."""
+    kind = pa.list_(pa.int64())
+    found = _decoded(data)
+    if found is None:
+        return pa.array([None if x is None else vb_delta_decode(x) for x in data.to_pylist()], kind)
+    out = pa.ListArray.from_arrays(pa.array(_rows(found[1]), pa.int32()), pa.array(found[0]))
+    return pc.if_else(data.is_null(), pa.scalar(None, kind), out) if data.null_count else out
+
+
+def vb_delta_max_arrow(data: pa.Array) -> pa.Array:
+    """vb_delta_max of each value, all at once."""
+    found = _decoded(data)
+    if found is None:
+        return pa.array([None if x is None else vb_delta_max(x) for x in data.to_pylist()], pa.int64())
+    x, n = found
+    return pa.array(np.where(n > 0, np.append(x, 0)[np.cumsum(n) - 1], 0), mask=data.is_null().to_numpy(zero_copy_only=False))
+
+
+def _arrow(f, kind):
+    def run(x: pa.Array) -> pa.Array:
+        return f(x)
+
+    return F.arrow_udf(run, kind)
+
+
+delta_vb_encode_udf = _arrow(delta_vb_encode_arrow, T.BinaryType())
+vb_delta_decode_udf = _arrow(vb_delta_decode_arrow, T.ArrayType(T.LongType()))
+vb_delta_max_udf = _arrow(vb_delta_max_arrow, T.LongType())
 
 
 def delta_encode_column(numbers: Column) -> Column:

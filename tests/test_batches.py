@@ -67,6 +67,25 @@ def test_prefixes_differ_without_a_shuffle(spark):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
 
 
+def test_codecs_of_arrays_equal_those_of_lists():
+    rnd = random.Random(1)
+    lists = [[], None, [0], [127, 128], [5, 5, 9], [9, 3], [2, 0], [1 << 40, (1 << 40) + 1]] + [sorted(rnd.sample(range(1, 10**6), rnd.randrange(50))) for _ in range(50)]
+    for rows in (lists, lists + [[1 << 62]], [None], [], [[]]):
+        col = pa.array([None, *rows], pa.list_(pa.int64())).slice(1)
+        data = [None if x is None else codec.delta_vb_encode(x) for x in rows]
+        assert codec.delta_vb_encode_arrow(col).to_pylist() == data
+        for coded in (data, [*data, b"\x01"]):  # the last ends within a number
+            want = [None if x is None else codec.vb_delta_decode(x) for x in coded]
+            assert codec.vb_delta_decode_arrow(pa.array(coded, pa.binary())).to_pylist() == want
+            assert codec.vb_delta_max_arrow(pa.array(coded, pa.binary())).to_pylist() == [None if x is None else codec.vb_delta_max(x) for x in coded]
+
+
+def test_codecs_in_a_plan(spark):
+    df = spark.createDataFrame([([3, 70, 900],), ([],), (None,)], "ids array<bigint>").withColumn("data", codec.delta_vb_encode_udf("ids"))
+    got = df.select("ids", codec.vb_delta_decode_udf("data").alias("back"), codec.vb_delta_max_udf("data").alias("top")).collect()
+    assert [(r.ids, r.back, r.top) for r in got] == [([3, 70, 900], [3, 70, 900], 900), ([], [], 0), (None, None, None)]
+
+
 SENTI = [(1, "A good day. It was the best of times, a waste of time!", "en"), (2, "well. done and dusted dr. e.g. bad :( ugly", "en"), (3, "huono päivä :) ihana", "fi"), (4, "nothing here to see at all", "en"), (5, None, "en"), (6, "good bad", "de"), (7, "well-done; well:done it", "en")]
 
 
