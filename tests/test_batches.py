@@ -106,3 +106,10 @@ def test_scored_postings_equal_a_join(spark):
     got = ix.tables(docs, ix.IndexSettings(fields=("t",), sentiment=1001, lang="lang"))["postings"]
     assert sorted((r.token, r.doc_id, r.hits, r.senti) for r in got.collect()) == sorted((r.token, r.doc_id, r.hits, r.senti) for r in want.collect())
     assert any(r.senti for r in got.collect()) and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_merge_with_a_document_that_became_empty(spark):
+    old = spark.createDataFrame([(1, "red fox"), (2, "blue")], "doc_id long, t string")
+    new = spark.createDataFrame([(1, "")], "doc_id long, t string")
+    both = ix.merge_postings(ix.document_postings(old, "doc_id", ["t"]), ix.document_postings(new, "doc_id", ["t"]), new.select("doc_id"))
+    assert {(r.token, r.doc_id) for r in both.collect()} == {("blue", 2)}
