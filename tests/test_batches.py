@@ -108,6 +108,15 @@ def test_scored_postings_equal_a_join(spark):
     assert any(r.senti for r in got.collect()) and "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hits_of_documents_with_parts(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, t string, u string").where("doc_id IS NOT NULL")
+    occ = analyzer.occurrences(docs, "doc_id", ["t"])
+    some = docs.select("doc_id", F.explode(analyzer.tokens(F.col("t"))).alias("w")).where(F.size(analyzer.blend_parts(F.col("w"))) > 0).select("doc_id").distinct()
+    want = occ.join(some, "doc_id", "left_semi").groupBy("doc_id", F.col("pos").cast("long").alias("pos"), "token").agg(F.count("*").alias("n"))
+    got = batches.blended(docs, "doc_id", "t", analyzer.DEFAULT)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_a_merge_with_a_document_that_became_empty(spark):
     old = spark.createDataFrame([(1, "red fox"), (2, "blue")], "doc_id long, t string")
     new = spark.createDataFrame([(1, "")], "doc_id long, t string")
