@@ -117,6 +117,15 @@ def test_hits_of_documents_with_parts(spark):
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_pages_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    html.page_fields(F.col("html"))
+    assert int(spark.conf.get(key)) == 4 << 20
+    spark.conf.set(key, before) if before else None
+
+
 def test_a_merge_with_a_document_that_became_empty(spark):
     old = spark.createDataFrame([(1, "red fox"), (2, "blue")], "doc_id long, t string")
     new = spark.createDataFrame([(1, "")], "doc_id long, t string")
