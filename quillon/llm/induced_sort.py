@@ -3,7 +3,8 @@
 The text is a string of small integers ending in 0.  Leftmost-S suffixes are
 named by their substrings; where names repeat, the string of names is sorted
 by the same procedure, names beyond a bucket limit being written as two digits
-(which keeps their order).  From the sorted leftmost-S suffixes the L suffixes
+(which keeps their order), until they fit ``memory`` and are sorted there by
+prefix doubling.  From the sorted leftmost-S suffixes the L suffixes
 and then the S suffixes follow: a scan in order pushes the predecessor of each
 suffix, with the length of the prefix it shares with the one pushed before it,
 into the queue of its first symbol.  Keys come out in order, so the priority
@@ -278,6 +279,43 @@ def _names(text: np.ndarray, kind: np.ndarray, at: np.ndarray, memory: int) -> t
     return ranks(m, key, memory)
 
 
+def _doubled(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a string of names in order, and how many names each shares with the one before it, in memory.
+
+    The last name is the least and occurs once, so names that two suffixes share end before it.
+    """
+    m = len(name)
+
+    def groups(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first of each one's group, and the members of groups of several."""
+        return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)), np.flatnonzero(~new | np.append(~new[1:], False))
+
+    order, shared = np.argsort(name, kind="stable"), np.zeros(m, np.int64)
+    first, live = groups(np.diff(name[order], prepend=-1) != 0)
+    rank = np.empty(m, np.int32)
+    rank[order] = first
+    levels = [rank]  # at i: the first place of those that share 2^i names with a suffix
+    while len(live):  # places of suffixes that share h names with others
+        h, p = 1 << (len(levels) - 1), order[live]
+        k = rank[p].astype(np.int64) * m + rank[p + h]
+        by = np.argsort(k)
+        order[live] = p = p[by]
+        new = np.diff(k[by], prepend=-1) != 0
+        cut = np.flatnonzero(new[1:] & (rank[p[1:]] == rank[p[:-1]])) + 1
+        a, b = p[cut - 1] + h, p[cut] + h
+        for i in range(len(levels) - 2, -1, -1):
+            same = (levels[i][a] == levels[i][b]).astype(np.int64) << i
+            a += same
+            b += same
+        shared[live[cut]] = a - p[cut - 1]
+        first, several = groups(new)
+        rank = rank.copy()
+        rank[p] = live[first]
+        levels.append(rank)
+        live = live[several]
+    return order, shared
+
+
 def _min_between(lcp: np.ndarray, even: np.ndarray, memory: int) -> np.ndarray:
     """Least of lcp after each chosen place up to the next."""
     out = array(max(0, len(even) - 1), np.int64, memory)
@@ -333,6 +371,8 @@ def suffix_array(text: np.ndarray, symbols: int, memory: int = MEMORY) -> tuple[
     if top == m:
         for lo, hi in blocks(m, memory):
             order[name[lo:hi]] = np.arange(lo, hi)
+    elif m <= memory:
+        order, shared = _doubled(name)
     elif top <= max(256, min(1 << 14, m // 256)):
         small = array(m, np.int32, memory)
         for lo, hi in blocks(m, memory):

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from quillon.llm import common, exact_dedup, language_id, mixing, neighbours, packing, quality_crf, secret_scan, simhash_dedup, suffix_dedup, url_filter
+from quillon.llm import common, exact_dedup, induced_sort, language_id, mixing, neighbours, packing, quality_crf, secret_scan, simhash_dedup, suffix_dedup, url_filter
 from quillon.llm.induced_sort import suffix_array
 
 
@@ -131,6 +131,28 @@ def test_suffix_array(xs, memory):
         assert lcp[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("memory, most", [(1 << 20, 1), (1200, 3)])
+def test_names_in_memory_are_sorted_there(monkeypatch, memory, most):
+    """Near copies and a long period: inductions end where the names fit in memory (the first string took 4 of them)."""
+    calls, whole = [], induced_sort.suffix_array
+    monkeypatch.setattr(induced_sort, "suffix_array", lambda *a: calls.append(len(a[0])) or whole(*a))
+    rng = np.random.default_rng(2)
+    passage = rng.integers(1, 200, 90)
+    near = []
+    for _ in range(60):
+        x = passage.copy()
+        x[rng.integers(0, 90)] = rng.integers(1, 200)
+        near += [*x.tolist(), 0]
+    for text in (near, [*[3, 1, 2, 1] * 700, 0]):
+        calls.clear()
+        sa, lcp = induced_sort.suffix_array(np.array(text, np.int32), 201, memory)
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert sa.tolist() == want
+        shared = [next((n for n, (x, y) in enumerate(zip(text[a:], text[b:])) if x != y), len(text) - max(a, b)) for a, b in zip(want, want[1:])]
+        assert lcp[1:].tolist() == shared
+        assert len(calls) <= most
+
+
 SHARD_TEST = """
 import resource
 import numpy as np
